@@ -138,7 +138,9 @@ def first_sanitizer_loc(spark, sf):
 def _facts_located(spark, sf):
     lc = P.log_crashes(spark, sf).select("ord", "signal", "dbg")
     df = K.facts(lc)
-    return K.locate(df, P.symbols(spark, sf))
+    sym = P.symbols(spark, sf)
+    df = E.enrich_frames(df, "ord", sym)
+    return K.locate(df, sym)
 
 
 def crash_site_location(spark, sf):

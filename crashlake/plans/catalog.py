@@ -41,7 +41,8 @@ def _s(c: Column) -> Column:
 # --- A. sources -----------------------------------------------------------
 
 def scan_crash_files(spark, sf):
-    return I.scan_crash_files(spark, sf).select("path", "name", "fuzzer_instance", "signal", "size")
+    # the data directory itself stands in for one instance's crashes/ folder
+    return I.scan_crash_files(spark, sf, crash_dirs_only=False).select("path", "name", "fuzzer_instance", "signal", "size")
 
 
 def instance_from_path(spark, sf):

@@ -27,7 +27,8 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def scan_crash_files(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
+def scan_crash_files(spark: SparkSession, root: str, with_content: bool = False,
+                     crash_dirs_only: bool = True) -> DataFrame:
     """A1/A3: every regular file under `root`, skipping names starting README.
 
     `binaryFile` lists files on the executors' file system API (no driver
@@ -44,7 +45,10 @@ def scan_crash_files(spark: SparkSession, root: str, with_content: bool = False)
             signal_from_name(name).alias("signal"), F.col("length").alias("size")]
     if with_content:
         cols.append(F.sha1(F.col("content")).alias("input_sha1"))
-    out = df.where(~name.startswith(R.SKIP_NAME_PREFIX)).select(*cols)
+    keep = ~name.startswith(R.SKIP_NAME_PREFIX)
+    if crash_dirs_only:
+        keep = keep & F.col("path").rlike(r"/crashes/[^/]+$")
+    out = df.where(keep).select(*cols)
     return out.withColumn("ord", F.struct("fuzzer_instance", "name"))
 
 
@@ -104,7 +108,7 @@ def with_timestamps(stats: DataFrame) -> DataFrame:
 
 def read_text_files(spark: SparkSession, pattern: str, whole: bool) -> DataFrame:
     """Text files under a glob, with the instance taken from the parent directory."""
-    df = spark.read.option("wholetext", str(whole).lower()).text(pattern).withColumn("path", F.input_file_name())
+    df = spark.read.text(pattern, wholetext=whole).withColumn("path", F.input_file_name())
     return df.withColumn("fuzzer_instance", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
 
 

@@ -11,18 +11,31 @@ from pyspark.sql import functions as F
 
 from crashlake import rules as R
 from crashlake.functions import frames as B
+from crashlake.functions.cache import per_context
 from crashlake.functions.patterns import dec, jre
 
 DIST_TYPE = "array<struct<cwe:string,w:double>>"
 
 
 def ev(cwe: str | Column, w: float | Column) -> Column:
+    if isinstance(cwe, str) and isinstance(w, (int, float)):
+        return _ev_const(cwe, float(w))
     c = F.lit(cwe) if isinstance(cwe, str) else cwe
     x = F.lit(float(w)) if isinstance(w, (int, float)) else w
     return F.struct(c.alias("cwe"), x.cast("double").alias("w"))
 
 
+@per_context
+def _ev_const(cwe: str, w: float) -> Column:
+    return F.struct(F.lit(cwe).alias("cwe"), F.lit(w).alias("w"))
+
+
 def lit_dist(pairs: list[tuple[str, float]]) -> Column:
+    return _lit_dist(tuple(pairs))
+
+
+@per_context
+def _lit_dist(pairs: tuple) -> Column:
     return F.array(*[ev(c, w) for c, w in pairs]) if pairs else F.array().cast(DIST_TYPE)
 
 
@@ -86,6 +99,7 @@ def sanitizer_region(raw: Column) -> Column:
     return F.when(raw.isNull() | (raw == ""), F.lit(None).cast("string")).when(null_page, "null_page").otherwise(region)
 
 
+@per_context
 def _trap_map() -> Column:
     return F.create_map(*[x for k, (c, w) in R.UBSAN_TRAP_HANDLERS.items() for x in (F.lit(k), ev(c, w))])
 
@@ -122,20 +136,18 @@ _ALLOC = R.ALLOC_FUNCS
 _STRING = R.STRING_FUNCS
 
 
-def debugger_heuristics(dbg: Column, sig_class: Column) -> Column:
-    """D6 (+D7): ordered evidence from the debugger state when the sanitizer said nothing."""
-    addr, pc, raw = dbg["faulting_address"], dbg["pc"], dbg["raw"]
-    insn_raw = dbg["faulting_instruction"]
+def heuristic_items(addr: Column, pc: Column, raw: Column, insn_raw: Column, sig_class: Column,
+                    funcs: Column) -> list[Column]:
+    """D6 (+D7) evidence items in rule order; `funcs` = `in NAME(` names of all frames."""
     insn = F.lower(F.coalesce(insn_raw, F.lit("")))
     has_insn = insn_raw.isNotNull() & (insn_raw != "")
     segv = sig_class == "ERROR_SEGFAULT"
-    funcs = F.filter(F.transform(dbg["backtrace"], B.engine_function), lambda x: x.isNotNull())
     has_alloc = F.arrays_overlap(funcs, F.array(*[F.lit(x) for x in _ALLOC]))
     has_string = F.arrays_overlap(funcs, F.array(*[F.lit(x) for x in _STRING]))
     low = dec(R.LOW_ADDRESS)
     write_insn = insn_raw.rlike(jre(R.WRITE_INSN, i=True))
     read_insn = insn_raw.rlike(jre(R.READ_INSN, i=True))
-    items = [
+    return [
         F.when(addr.isNotNull() & (addr < low), ev("CWE-476", 0.75)),
         F.when(insn.rlike(jre(R.DIV_INSN, i=True)), ev("CWE-369", 0.8)),
         F.when(segv & has_insn & write_insn, ev("CWE-787", 0.6)),
@@ -152,6 +164,16 @@ def debugger_heuristics(dbg: Column, sig_class: Column) -> Column:
         F.when(insn.rlike(jre(R.CALL_INSN, i=True)) & segv, ev("CWE-416", 0.5)),
         F.when((sig_class == "ERROR_ILL") & has_insn, ubsan_trap(insn_raw)),
     ]
+
+
+def frame_functions(bt: Column) -> Column:
+    return F.filter(F.transform(bt, B.engine_function), lambda x: x.isNotNull())
+
+
+def debugger_heuristics(dbg: Column, sig_class: Column) -> Column:
+    """D6 (+D7): ordered evidence from the debugger state when the sanitizer said nothing."""
+    items = heuristic_items(dbg["faulting_address"], dbg["pc"], dbg["raw"], dbg["faulting_instruction"],
+                            sig_class, frame_functions(dbg["backtrace"]))
     hints = max_merge(compact(items))
     return F.when(stack_exhaustion(dbg), F.array().cast(DIST_TYPE)).otherwise(hints)
 
@@ -192,9 +214,16 @@ def _fsum(dist: Column) -> Column:
     return F.aggregate(dist, init, step, lambda acc: acc["s"] + acc["c"])
 
 
-def normalize(dist: Column) -> Column:
-    """Weights over their total, rounded half-even to 3 places; empty -> unknown 1.0."""
-    total = _fsum(dist)
+def weight_total(dist: Column) -> Column:
+    return _fsum(dist)
+
+
+def normalize(dist: Column, total: Column | None = None) -> Column:
+    """Weights over their total, rounded half-even to 3 places; empty -> unknown 1.0.
+
+    Pass a materialized `total` column to avoid re-summing per element.
+    """
+    total = _fsum(dist) if total is None else total
     return F.when(total <= 0, lit_dist([("unknown", 1.0)])).otherwise(
         F.transform(dist, lambda x: ev(x["cwe"], F.bround(x["w"] / total, 3))))
 

@@ -17,7 +17,11 @@ from crashlake.functions import taxonomy as T
 from crashlake.functions import verdict as V
 from crashlake.functions.patterns import jre
 from crashlake.operators import lookup as E
+from crashlake.operators.sequence import left_join_nonnull
+from crashlake.functions.cache import per_context
+from pyspark.sql import Column
 
+@per_context
 def _empty():
     return F.array().cast(D.DIST_TYPE)
 
@@ -36,25 +40,35 @@ def classify_static(issues: DataFrame) -> DataFrame:
     return df.withColumn("exploitability", V.verdict(F.col("taxonomy"), dbg_null, F.col("top_cwe")))
 
 
-def facts(df: DataFrame) -> DataFrame:
-    """Everything that needs the log text, computed once; the text is dropped after."""
+@per_context
+def _base_cols() -> list[Column]:
     dbg = F.col("dbg")
-    raw = dbg["raw"]
-    sig = F.col("signal")
-    has = dbg.isNotNull()
-    df = df.withColumn("signal_class", D.signal_class(sig))
-    df = df.withColumn("_san", F.when(has, D.sanitizer_evidence(raw)).otherwise(_empty()))
-    df = df.withColumn("_heur", F.when(has & (F.size("_san") == 0),
-                                       D.debugger_heuristics(dbg, F.col("signal_class"))).otherwise(_empty()))
-    df = df.select(
-        *[c for c in df.columns if c not in ("_san", "_heur")],
-        F.when(has & D.recursive_overflow(dbg), _empty())
-         .otherwise(D.merge_evidence(D.signal_prior(sig), F.col("_san"), F.col("_heur"))).alias("evidence_dist"),
+    return [
+        D.signal_class(F.col("signal")).alias("signal_class"),
+        dbg["raw"].alias("_raw"),
+        F.coalesce(dbg["backtrace"], F.array().cast("array<string>")).alias("backtrace"),
+        dbg["faulting_instruction"].alias("faulting_instruction"),
+        dbg["faulting_address"].alias("faulting_address"),
+        dbg["pc"].alias("pc"),
+        dbg.isNotNull().alias("has_log"),
+    ]
+
+
+@per_context
+def _fact_cols() -> list[Column]:
+    raw, has = F.col("_raw"), F.col("has_log")
+    so_pat = jre(R.STACK_OVERFLOW + f"(?!.*{R.STACK_OVERFLOW_EXCLUDE})", i=True)
+    dbg_cols = F.struct(F.col("backtrace").alias("backtrace"), F.col("faulting_instruction").alias("faulting_instruction"))
+    return [
+        F.when(has & (raw != ""), D.compact([D.overflow_header(raw), *D.sanitizer_rule_hits(raw)]))
+         .otherwise(_empty()).alias("_san_items"),
+        D.frame_functions(F.col("backtrace")).alias("_funcs"),
+        (has & D.stack_exhaustion(dbg_cols)).alias("_exh"),
+        (has & F.coalesce(raw.rlike(so_pat), F.lit(False))).alias("_so"),
         F.when(has, D.sanitizer_region(raw)).alias("sanitizer_region"),
         F.coalesce(raw.rlike(jre(R.OOB_UBSAN, i=True)), F.lit(False)).alias("oob_report"),
         B.first_sanitizer_loc(raw).alias("san_loc"),
         F.when(has, B.log_tail(raw)).otherwise(F.lit("")).alias("evidence"),
-        # tier-0 verdict inputs (need the text)
         F.struct(
             raw.rlike(jre(R.ALLOC_TOO_BIG, i=True)).alias("alloc_too_big"),
             raw.rlike(jre(R.STACK_BUF_READ, i=True, s=True)).alias("stack_buf_read"),
@@ -62,19 +76,45 @@ def facts(df: DataFrame) -> DataFrame:
             raw.rlike(jre(R.SAN_WRITE, i=True, m=True)).alias("san_write"),
             raw.rlike(jre(R.SAN_READ, i=True, m=True)).alias("san_read"),
         ).alias("tier0"),
-        F.coalesce(dbg["backtrace"], F.array().cast("array<string>")).alias("backtrace"),
-        dbg["faulting_instruction"].alias("faulting_instruction"),
-        dbg["faulting_address"].alias("faulting_address"),
-        dbg["pc"].alias("pc"),
-        has.alias("has_log"),
-    )
-    return df.drop("dbg")
+    ]
 
 
-def locate(df: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """B7 (+E2): crash function/location by priority symbol -> user frame -> sanitizer frame."""
-    if symbols is not None:
-        df = E.symbolize(df, "pc", symbols, prefix="pcsym_")
+@per_context
+def _heur_col() -> Column:
+    has = F.col("has_log")
+    heur = D.compact(D.heuristic_items(F.col("faulting_address"), F.col("pc"), F.col("_raw"),
+                                       F.col("faulting_instruction"), F.col("signal_class"), F.col("_funcs")))
+    return F.when(has & (F.size("_san_items") == 0) & ~F.col("_exh"), heur).otherwise(_empty()).alias("_heur_items")
+
+
+@per_context
+def _all_col() -> Column:
+    return F.concat(D.signal_prior(F.col("signal")), F.col("_san_items"), F.col("_heur_items")).alias("_all")
+
+
+@per_context
+def _evidence_col() -> Column:
+    return F.when(F.col("_so") | F.col("_exh"), _empty()).otherwise(D.max_merge(F.col("_all"))).alias("evidence_dist")
+
+
+def facts(df: DataFrame) -> DataFrame:
+    """Everything that needs the log text, computed once; the text is dropped after.
+
+    Staged projections keep every regex at one evaluation per row: evidence
+    item arrays are materialized before the per-CWE merge walks them.
+    """
+    base = [c for c in df.columns if c != "dbg"]
+    df = df.select(*base, *_base_cols())
+    df = df.select("*", *_fact_cols())
+    df = df.select("*", _heur_col())
+    df = df.select("*", _all_col())
+    df = df.select("*", _evidence_col())
+    return df.drop("_raw", "_san_items", "_heur_items", "_all", "_funcs", "_exh", "_so")
+
+
+@per_context
+def _locate_cols(with_symbols: bool) -> list[Column]:
+    if with_symbols:
         sym_func, sym_loc = F.col("pcsym_func"), F.col("pcsym_loc")
     else:
         sym_func = sym_loc = F.lit(None).cast("string")
@@ -82,35 +122,51 @@ def locate(df: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     need = sym_loc.isNull() | sym_func.isNull() | (sym_loc == "") | (sym_func == "")
     func = F.when(need, F.coalesce(F.nullif(sym_func, F.lit("")), uf["func"])).otherwise(sym_func)
     loc = F.when(need, F.coalesce(F.nullif(sym_loc, F.lit("")), uf["loc"])).otherwise(sym_loc)
-    df = df.withColumn("_func", func).withColumn("_loc", loc)
+    return [func.alias("_func"), loc.alias("_loc")]
+
+
+@per_context
+def _location_cols() -> list[Column]:
     absolute = F.coalesce(F.col("_loc").startswith("/"), F.lit(False))
     san = F.col("san_loc")
-    df = df.withColumn("crash_location", F.when(~absolute & san["loc"].isNotNull(), san["loc"]).otherwise(F.col("_loc")))
-    df = df.withColumn("crash_function", F.when(~absolute & san["func"].isNotNull()
-                                                & (F.col("_func").isNull() | (F.col("_func") == "")), san["func"])
-                       .otherwise(F.col("_func")))
+    return [
+        F.when(~absolute & san["loc"].isNotNull(), san["loc"]).otherwise(F.col("_loc")).alias("crash_location"),
+        F.when(~absolute & san["func"].isNotNull() & (F.col("_func").isNull() | (F.col("_func") == "")), san["func"])
+         .otherwise(F.col("_func")).alias("crash_function"),
+    ]
+
+
+def locate(df: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """B7 (+E2): crash function/location by priority symbol -> user frame -> sanitizer frame."""
+    if symbols is not None:
+        df = E.symbolize(df, "pc", symbols, prefix="pcsym_")
+    df = df.select("*", *_locate_cols(symbols is not None))
+    df = df.select("*", *_location_cols())
     drop = ["_func", "_loc", "san_loc"] + (["pcsym_func", "pcsym_loc"] if symbols is not None else [])
     return df.drop(*drop)
 
 
-def finish(df: DataFrame, crash_text: DataFrame | None = None) -> DataFrame:
-    """D11, D12, D14, D18, D19/D20 on the slim rows."""
-    if crash_text is not None:
-        df = df.join(crash_text, on="crash_location", how="left")
-        direction = E.oob_direction(F.col("oob_report"), F.col("crash_line_text"))
-    else:
-        df = (df.withColumn("snippet_file", F.lit(None).cast("string"))
-                .withColumn("crash_line", F.lit(None).cast("long"))
-                .withColumn("crash_line_text", F.lit(None).cast("string")))
-        direction = F.lit(None).cast("string")
-    df = df.withColumn("oob_direction", direction)
-    df = df.withColumn("cwe_distribution", D.normalize(
-        D.apply_oob_direction(F.col("evidence_dist"), F.col("oob_direction"))))
-    df = df.withColumn("top_cwe", D.top_cwe(F.col("cwe_distribution")))
+@per_context
+def _direction_col(with_text: bool) -> Column:
+    if with_text:
+        return E.oob_direction(F.col("oob_report"), F.col("crash_line_text")).alias("oob_direction")
+    return F.lit(None).cast("string").alias("oob_direction")
+
+
+@per_context
+def _dist_cols() -> list[Column]:
+    adj = D.apply_oob_direction(F.col("evidence_dist"), F.col("oob_direction"))
+    return [adj.alias("_adj")]
+
+
+@per_context
+def _norm_cols() -> list[Column]:
+    return [D.normalize(F.col("_adj"), D.weight_total(F.col("_adj"))).alias("cwe_distribution")]
+
+
+@per_context
+def _verdict_cols() -> list[Column]:
     has = F.col("has_log")
-    dbg_like = F.when(has, F.struct(
-        F.col("backtrace").alias("backtrace"), F.col("faulting_instruction").alias("faulting_instruction"),
-        F.col("faulting_address").alias("faulting_address"), F.col("pc").alias("pc")))
     raw_bt = F.col("log_backtrace")
     tax = F.struct(
         F.col("signal_class").alias("signal_class"),
@@ -119,7 +175,15 @@ def finish(df: DataFrame, crash_text: DataFrame | None = None) -> DataFrame:
          .otherwise(F.coalesce(F.col("sanitizer_region"), F.lit("unknown"))).alias("memory_region"),
         F.when(has, T.control_flow(F.col("pc"), raw_bt)).otherwise("unknown").alias("control_flow_state"),
     )
-    df = df.withColumn("taxonomy", tax)
+    return [tax.alias("taxonomy")]
+
+
+@per_context
+def _exploit_col() -> Column:
+    has = F.col("has_log")
+    dbg_like = F.when(has, F.struct(
+        F.col("backtrace").alias("backtrace"), F.col("faulting_instruction").alias("faulting_instruction"),
+        F.col("faulting_address").alias("faulting_address"), F.col("pc").alias("pc")))
     t0 = F.col("tier0")
     top = F.col("top_cwe")
     tier0 = (F.when(~has, F.lit(None).cast("string"))
@@ -130,7 +194,28 @@ def finish(df: DataFrame, crash_text: DataFrame | None = None) -> DataFrame:
     sc = V.score(top, F.col("taxonomy"), dbg_like)
     by_score = (F.when(sc >= R.EXPLOITABLE_MIN_SCORE, "EXPLOITABLE")
                  .when(sc >= R.NOT_EXPLOITABLE_MIN_SCORE, "NOT_EXPLOITABLE").otherwise("UNKNOWN"))
-    return df.withColumn("exploitability", F.coalesce(tier0, by_score)).drop("tier0", "evidence_dist")
+    return F.coalesce(tier0, by_score).alias("exploitability")
+
+
+@per_context
+def _top_col() -> Column:
+    return D.top_cwe(F.col("cwe_distribution")).alias("top_cwe")
+
+
+def finish(df: DataFrame, crash_text: DataFrame | None = None) -> DataFrame:
+    """D11, D12, D14, D18, D19/D20 on the slim rows."""
+    if crash_text is not None:
+        df = left_join_nonnull(df, crash_text, ["crash_location"])
+    else:
+        df = df.select("*", F.lit(None).cast("string").alias("snippet_file"),
+                       F.lit(None).cast("long").alias("crash_line"),
+                       F.lit(None).cast("string").alias("crash_line_text"))
+    df = df.select("*", _direction_col(crash_text is not None))
+    df = df.select("*", *_dist_cols())
+    df = df.select("*", *_norm_cols()).drop("_adj")
+    df = df.select("*", _top_col(), *_verdict_cols())
+    df = df.select("*", _exploit_col())
+    return df.drop("tier0", "evidence_dist")
 
 
 def classify_full(issues: DataFrame, logs: DataFrame | None, symbols: DataFrame | None = None,

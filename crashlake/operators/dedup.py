@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crashlake.functions import frames as B
+from crashlake.operators.sequence import left_join_nonnull
 
 
 def _first_member(df: DataFrame, key_cols: list[str], order: Column, carry: list[str]) -> DataFrame:
@@ -102,7 +103,7 @@ def issue_members(raw: DataFrame, level_a_keyed: DataFrame, level_b: DataFrame)
     a = level_a_keyed.select("input_sha1", F.col("ord").alias("a_ord"), "stack_hash", "top_cwe")
     b_groups = (a.where(F.col("stack_hash").isNotNull())
                 .groupBy("stack_hash", "top_cwe").agg(F.min("a_ord").alias("b_ord")))
-    a_to_b = (a.join(b_groups, ["stack_hash", "top_cwe"], "left")
+    a_to_b = (left_join_nonnull(a, b_groups, ["stack_hash", "top_cwe"])
               .select("input_sha1", "a_ord",
                       F.coalesce(F.col("b_ord"), F.col("a_ord")).alias("b_ord"),
                       F.col("stack_hash").isNull().alias("untouched_b")))
@@ -113,7 +114,7 @@ def issue_members(raw: DataFrame, level_a_keyed: DataFrame, level_b: DataFrame)
                        (loc.isNotNull() & (loc != "")).alias("_usable"))
     c_groups = (b.where("_usable").groupBy("_l", "_i", "_c")
                 .agg(F.min(F.struct("untouched_b", "b_ord")).alias("_first")))
-    b_to_c = (b.join(c_groups, ["_l", "_i", "_c"], "left")
+    b_to_c = (left_join_nonnull(b.withColumn("_l", F.when(F.col("_usable"), F.col("_l"))), c_groups, ["_l", "_i", "_c"])
               .select("b_ord",
                       F.coalesce(F.col("_first.b_ord"), F.col("b_ord")).alias("issue_ord"),
                       (~F.col("_usable")).alias("untouched_c")))

@@ -49,19 +49,24 @@ def symbolize(df: DataFrame, addr_col: str, symbols: DataFrame, prefix: str = "s
     """Address -> (function, file:line) from a non-overlapping `symbols(lo, hi, func, loc)` table.
 
     Unresolved addresses, '??' / 'optimized out' functions and '??:0' locations
-    give NULLs; a location in libc clears both.
+    give NULLs; a location in libc clears both.  Rows without an address skip
+    the join (no NULL-key hot partition).
     """
     p = f"_{prefix}"
-    left = df.withColumn(f"{p}addr", F.col(addr_col).cast("decimal(20,0)"))
-    left = left.withColumn(f"{p}bin", F.floor(F.col(f"{p}addr") / bin_size))
+    addr = F.col(addr_col).cast("decimal(20,0)")
+    with_addr = df.where(addr.isNotNull()).withColumn(f"{p}addr", addr)
+    with_addr = with_addr.withColumn(f"{p}bin", F.floor(F.col(f"{p}addr") / bin_size))
     bins = symbol_bins(symbols, bin_size).select(
         F.col("_bin").alias(f"{p}sbin"), F.col("_lo").alias(f"{p}lo"), F.col("_hi").alias(f"{p}hi"),
         F.col("func").alias(f"{p}func"), F.col("loc").alias(f"{p}loc"))
     cond = ((F.col(f"{p}bin") == F.col(f"{p}sbin")) & (F.col(f"{p}addr") >= F.col(f"{p}lo"))
             & (F.col(f"{p}addr") <= F.col(f"{p}hi")))
-    j = left.join(bins, on=cond, how="left")
+    j = with_addr.join(bins, on=cond, how="left")
     func, loc = _clean_symbol(F.col(f"{p}func"), F.col(f"{p}loc"))
-    return j.select(*[F.col(c) for c in df.columns], func.alias(f"{prefix}func"), loc.alias(f"{prefix}loc"))
+    hit = j.select(*[F.col(c) for c in df.columns], func.alias(f"{prefix}func"), loc.alias(f"{prefix}loc"))
+    miss = df.where(addr.isNull()).select("*", F.lit(None).cast("string").alias(f"{prefix}func"),
+                                          F.lit(None).cast("string").alias(f"{prefix}loc"))
+    return hit.unionByName(miss)
 
 
 def enrich_frames(df: DataFrame, key: str, symbols: DataFrame, bt_col: str = "backtrace",

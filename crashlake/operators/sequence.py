@@ -45,3 +45,22 @@ def global_index(df: DataFrame, order_cols: list[str], pos_col: str, out_col: st
     w = Window.partitionBy(*order_cols, "_blk").orderBy(pos_col)
     return (b.withColumn(out_col, F.col("_blk_offset") + F.row_number().over(w) - 1)
              .drop("_blk", "_blk_offset"))
+
+
+def left_join_nonnull(left: DataFrame, right: DataFrame, keys: list[str], on=None) -> DataFrame:
+    """Left join that never shuffles rows whose join key is NULL.
+
+    A NULL key cannot match, yet a hash exchange would still send every such
+    row to the one partition NULL hashes to.  Those rows bypass the join and
+    get NULL right-hand columns instead.
+    """
+    has_key = None
+    for k in keys:
+        c = F.col(k).isNotNull()
+        has_key = c if has_key is None else (has_key & c)
+    matched = left.where(has_key).join(right, on=on if on is not None else keys, how="left")
+    rest = left.where(~has_key)
+    for f in right.schema.fields:
+        if f.name not in rest.columns:
+            rest = rest.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return matched.unionByName(rest.select(*matched.columns))

@@ -172,8 +172,18 @@ def duckdb_prelude() -> str:
     return "\n".join(f"create or replace temp view {n} as {render(n, 'duckdb')};" for n in order)
 
 
+_VIEWS: dict = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One fixture view as a Spark DataFrame over the parquet tables in `sf_dir`."""
+    """One fixture view as a Spark DataFrame over the parquet tables in `sf_dir` (lazy plan, memoized)."""
+    key = (id(spark), sf_dir, name)
+    if key not in _VIEWS:
+        _VIEWS[key] = _view(spark, sf_dir, name)
+    return _VIEWS[key]
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     register_tables(spark, sf_dir)
     if name == "v_plot":
         return plot_points(spark, sf_dir)

@@ -19,6 +19,7 @@ from crashlake.functions.patterns import jre
 from crashlake.operators import lookup as E
 from crashlake.operators.sequence import left_join_nonnull
 from crashlake.functions.cache import per_context
+from crashlake.session import cut_lineage
 from pyspark.sql import Column
 
 @per_context
@@ -220,20 +221,29 @@ def finish(df: DataFrame, crash_text: DataFrame | None = None) -> DataFrame:
 
 def classify_full(issues: DataFrame, logs: DataFrame | None, symbols: DataFrame | None = None,
                   source_lines: DataFrame | None = None, roots: list[str] | None = None,
-                  key: str = "ord") -> DataFrame:
+                  key: str = "ord", materialize: bool = True) -> DataFrame:
     """Replay-log classification; `logs` holds (key, dbg) with dbg from A8/A9.
 
     `symbols` (lo, hi, func, loc) stands in for the debug info of the target
     (frames and pc are symbolized when given); `source_lines` (file, line, text)
     stands in for the source tree searched under `roots`.
+
+    The slim facts table and the located table each feed several branches
+    (frame lookups, the NULL-key split, snippet lookup, the final join); they
+    are checkpointed to the shared checkpoint folder so the regex work runs
+    once and a lost executor does not replay the log join.
     """
     df = E.join_crash_log(issues, logs, key) if logs is not None else issues
     df = facts(df)
     df = df.withColumn("log_backtrace", F.col("backtrace"))
+    if materialize:
+        df = cut_lineage(df)
     if symbols is not None:
         df = E.enrich_frames(df, key, symbols)
     df = locate(df, symbols)
     crash_text = None
     if source_lines is not None:
+        if materialize:
+            df = cut_lineage(df)
         crash_text, _ = E.source_snippets(df, source_lines, roots or [])
     return finish(df, crash_text)

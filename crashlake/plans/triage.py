@@ -13,6 +13,7 @@ from crashlake.operators import dedup as C
 from crashlake.operators import rank as FR
 from crashlake.sources import fixtures as X
 from crashlake.sources import ingest as I
+from crashlake.session import cut_lineage
 
 SOURCE_ROOTS = ["/src"]
 
@@ -62,8 +63,8 @@ def triage(spark: SparkSession, sf: str, with_debug_info: bool = True) -> Triage
     sym = symbols(spark, sf) if with_debug_info else None
     src = source_lines(spark, sf) if with_debug_info else None
     classified = K.classify_full(level_a, logs, sym, src, SOURCE_ROOTS)
-    classified = C.stack_key(classified).persist()
-    level_b = C.dedup_stack(classified)
+    classified = cut_lineage(C.stack_key(classified))
+    level_b = cut_lineage(C.dedup_stack(classified))
     level_c = C.dedup_location(level_b)
     issues = FR.prioritize(level_c)
     return Triage(raw, level_a, classified, level_b, level_c, issues)

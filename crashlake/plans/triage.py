@@ -59,7 +59,7 @@ def triage(spark: SparkSession, sf: str, with_debug_info: bool = True) -> Triage
     """
     raw = raw_crashes(spark, sf)
     level_a = C.dedup_exact(raw.select("input_sha1", "ord", "name", "fuzzer_instance", "size", "path", "signal"))
-    logs = I.replay_results(X.view(spark, sf, "v_replay")).select("ord", "dbg")
+    logs = I.replay_results(X.view(spark, sf, "v_replay"), only=level_a).select("ord", "dbg")
     sym = symbols(spark, sf) if with_debug_info else None
     src = source_lines(spark, sf) if with_debug_info else None
     classified = K.classify_full(level_a, logs, sym, src, SOURCE_ROOTS)

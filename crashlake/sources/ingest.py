@@ -136,7 +136,14 @@ def choose_replay(attempts: DataFrame, key: str = "ord") -> DataFrame:
     return chosen.select(key, F.col("_c.attempt").alias("attempt"), F.col("_c.text").alias("text"))
 
 
-def replay_results(attempts: DataFrame, key: str = "ord") -> DataFrame:
-    """A8 over A9: (key, dbg) for crashes with a usable replay result."""
+def replay_results(attempts: DataFrame, key: str = "ord", only: DataFrame | None = None) -> DataFrame:
+    """A8 over A9: (key, dbg) for crashes with a usable replay result.
+
+    `only` (a frame with `key`) restricts the work to those crashes before any
+    text is chosen or parsed; the semi-join and the choice aggregate share the
+    same hash partitioning on `key`, so the restriction adds no shuffle.
+    """
+    if only is not None:
+        attempts = attempts.join(only.select(key), on=key, how="left_semi")
     chosen = choose_replay(attempts, key)
     return chosen.select(key, "attempt", parse_log(F.col("text")).alias("dbg")).where(F.col("dbg").isNotNull())

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crashlake.functions import frames as B
-from crashlake.operators.sequence import left_join_nonnull
+from crashlake.operators.sequence import attach_scalar, left_join_nonnull
 
 
 def _first_member(df: DataFrame, key_cols: list[str], order: Column, carry: list[str]) -> DataFrame:
@@ -80,10 +80,10 @@ def dedup_location(issues: DataFrame) -> DataFrame:
 
 def cascade_counts(raw: DataFrame, level_a: DataFrame, level_b: DataFrame, level_c: DataFrame) -> DataFrame:
     """C4: crash and issue counts after each level, one row."""
-    return (raw.agg(F.count(F.lit(1)).alias("raw_crashes"))
-            .crossJoin(level_a.agg(F.count(F.lit(1)).alias("level_a_issues")))
-            .crossJoin(level_b.agg(F.count(F.lit(1)).alias("level_b_issues")))
-            .crossJoin(level_c.agg(F.count(F.lit(1)).alias("level_c_issues"))))
+    out = raw.agg(F.count(F.lit(1)).alias("raw_crashes"))
+    for df, name in ((level_a, "level_a_issues"), (level_b, "level_b_issues"), (level_c, "level_c_issues")):
+        out = attach_scalar(out, df.agg(F.count(F.lit(1)).alias(name)))
+    return out
 
 
 def stack_key(issues: DataFrame, backtrace_col: str = "backtrace") -> DataFrame:

@@ -31,7 +31,8 @@ def unmatched_logs(issues: DataFrame, usable_logs: DataFrame, key: str = "ord")
 def symbol_bins(symbols: DataFrame, bin_size: int = SYMBOL_BIN) -> DataFrame:
     """Symbol ranges [lo, hi] exploded to the address bins they cover."""
     return symbols.select(
-        F.explode(F.sequence(F.floor(F.col("lo") / bin_size), F.floor(F.col("hi") / bin_size))).alias("_bin"),
+        F.explode(F.sequence(F.floor(F.col("lo") / bin_size).cast("long"),
+                             F.floor(F.col("hi") / bin_size).cast("long"))).alias("_bin"),
         F.col("lo").cast("decimal(20,0)").alias("_lo"), F.col("hi").cast("decimal(20,0)").alias("_hi"),
         "func", "loc")
 
@@ -55,7 +56,7 @@ def symbolize(df: DataFrame, addr_col: str, symbols: DataFrame, prefix: str = "s
     p = f"_{prefix}"
     addr = F.col(addr_col).cast("decimal(20,0)")
     with_addr = df.where(addr.isNotNull()).withColumn(f"{p}addr", addr)
-    with_addr = with_addr.withColumn(f"{p}bin", F.floor(F.col(f"{p}addr") / bin_size))
+    with_addr = with_addr.withColumn(f"{p}bin", F.floor(F.col(f"{p}addr") / bin_size).cast("long"))
     bins = symbol_bins(symbols, bin_size).select(
         F.col("_bin").alias(f"{p}sbin"), F.col("_lo").alias(f"{p}lo"), F.col("_hi").alias(f"{p}hi"),
         F.col("func").alias(f"{p}func"), F.col("loc").alias(f"{p}loc"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crashlake import rules as R
-from crashlake.operators.sequence import global_index
+from crashlake.operators.sequence import attach_scalar, global_index
 
 def count_by_axis(ranked: DataFrame) -> DataFrame:
     """G1: issue counts per signal class, crash site, region and verdict in one pass.
@@ -37,7 +37,7 @@ def report_totals(raw: DataFrame, issues: DataFrame) -> DataFrame:
     tot = issues.agg(F.count(F.lit(1)).alias("unique_issues"),
                      F.count_if(F.col("severity_level") == "CRITICAL").alias("critical"),
                      F.count_if(F.col("severity_level") == "HIGH").alias("high"))
-    return raw.agg(F.count(F.lit(1)).alias("raw_crashes")).crossJoin(tot)
+    return attach_scalar(raw.agg(F.count(F.lit(1)).alias("raw_crashes")), tot)
 
 
 def instance_stats(stats: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def plot_index(points: DataFrame) -> DataFrame:
 def plot_normalized(points: DataFrame) -> DataFrame:
     """Elapsed seconds and fractions of the time range and crash maximum."""
     ext = plot_extent(points)
-    df = plot_index(points).crossJoin(F.broadcast(ext))  # one-row side
+    df = attach_scalar(plot_index(points), ext)
     return df.select("idx", "fuzzer_instance", "line_no", "unix_time", "unique_crashes",
                      (F.col("unix_time") - F.col("x_min")).alias("elapsed"),
                      ((F.col("unix_time") - F.col("x_min")) / F.col("x_range")).alias("fx"),
@@ -73,7 +73,7 @@ def plot_normalized(points: DataFrame) -> DataFrame:
 def plot_downsample(points: DataFrame) -> DataFrame:
     """Every max(1, n // 20)-th point plus the last one."""
     ext = plot_extent(points).select("n_points")
-    df = plot_index(points).crossJoin(F.broadcast(ext))  # one-row side
+    df = attach_scalar(plot_index(points), ext)
     step = F.greatest(F.floor(F.col("n_points") / R.PLOT_MAX_DOTS), F.lit(1))
     keep = ((F.col("idx") % step) == 0) | (F.col("idx") == F.col("n_points") - 1)
     return df.where(keep).select("idx", "fuzzer_instance", "line_no", "unix_time", "unique_crashes",

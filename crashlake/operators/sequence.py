@@ -64,3 +64,14 @@ def left_join_nonnull(left: DataFrame, right: DataFrame, keys: list[str], on=Non
         if f.name not in rest.columns:
             rest = rest.withColumn(f.name, F.lit(None).cast(f.dataType))
     return matched.unionByName(rest.select(*matched.columns))
+
+
+def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row aggregate to every row.
+
+    The aggregate's single row (a handful of scalars: the only data that
+    reaches the driver) is attached as literals, so the plan has no join and
+    no cross product.
+    """
+    row = one_row.first()
+    return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields])

@@ -55,7 +55,7 @@ def instance_from_path(spark, sf):
 def input_sha1(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.sha1(F.col("text").cast("binary")).alias("input_sha1"),
-                    F.octet_length("text").alias("size"))
+                    F.octet_length("text").cast("bigint").alias("size"))
 
 
 def signal_from_name(spark, sf):
@@ -70,7 +70,7 @@ def scan_fuzzer_stats(spark, sf):
     return _stats(spark, sf).select(
         "fuzzer_instance", "command_line", "start_time_epoch", "last_update_epoch", "execs_done",
         "execs_per_sec", "paths_total", "unique_crashes", "unique_hangs", "afl_version",
-        F.size("raw").alias("n_keys"))
+        F.size("raw").cast("bigint").alias("n_keys"))
 
 
 def stats_target_binary(spark, sf):
@@ -85,7 +85,7 @@ def parse_replay_log(spark, sf):
     lc = P.log_crashes(spark, sf)
     d = F.col("dbg")
     return lc.select("ord", d.isNotNull().alias("has_result"), d["signal_name"].alias("signal_name"),
-                     F.size(d["backtrace"]).alias("n_frames"), _join(d["backtrace"]).alias("backtrace"),
+                     F.size(d["backtrace"]).cast("bigint").alias("n_frames"), _join(d["backtrace"]).alias("backtrace"),
                      d["faulting_instruction"].alias("faulting_instruction"),
                      _s(d["faulting_address"]).alias("faulting_address"), _s(d["pc"]).alias("pc"))
 
@@ -102,13 +102,14 @@ def _bt(spark, sf):
 
 
 def _frames(spark, sf):
-    return _bt(spark, sf).select("ord", F.posexplode("bt").alias("pos", "frame"))
+    return (_bt(spark, sf).select("ord", F.posexplode("bt").alias("pos", "frame"))
+            .withColumn("pos", F.col("pos").cast("bigint")))
 
 
 def noise_frames(spark, sf):
     b = _bt(spark, sf)
     m = B.meaningful_frames(F.col("bt"))
-    return b.select("ord", _join(m).alias("meaningful"), F.size(m).alias("n_meaningful"))
+    return b.select("ord", _join(m).alias("meaningful"), F.size(m).cast("bigint").alias("n_meaningful"))
 
 
 def normalize_frame(spark, sf):
@@ -159,13 +160,14 @@ def oob_direction(spark, sf):
 def log_tail(spark, sf):
     d = table(spark, sf, "documents")
     t = B.log_tail(F.col("text"))
-    return d.select("doc_id", t.alias("tail"), F.length(t).alias("tail_len"))
+    return d.select("doc_id", t.alias("tail"), F.length(t).cast("bigint").alias("tail_len"))
 
 
 # --- C. dedup -------------------------------------------------------------
 
 def dedup_exact(spark, sf):
-    raw = P.raw_crashes(spark, sf).select("input_sha1", "ord", "name", "fuzzer_instance", "signal", "size")
+    raw = P.raw_crashes(spark, sf).select("input_sha1", "ord", "name", "fuzzer_instance", "signal",
+                                          F.col("size").cast("bigint").alias("size"))
     return C.dedup_exact(raw)
 
 

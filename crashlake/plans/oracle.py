@@ -439,10 +439,10 @@ rep as ({REPLAY_CHOSEN}),
 {log_rows("select la.ord, la.input_sha1, la.duplicate_count, r.signal, rep.text as raw from la join raw r on r.ord = la.ord left join rep on rep.ord = la.ord", "lcx")},
 {classify_ctes('lcx', True, SOURCE_ROOTS)},
 ca as (select *, {stack_hash_sql('bt')} as stack_hash, insn as faulting_instruction from cls),
-lb_m as (select min(ord) as ord, sum(duplicate_count) as dup, count(*) as merged_issues from ca where stack_hash is not null group by stack_hash, top_cwe),
+lb_m as (select min(ord) as ord, cast(sum(duplicate_count) as bigint) as dup, count(*) as merged_issues from ca where stack_hash is not null group by stack_hash, top_cwe),
 lb as (select ca.* replace (lb_m.dup as duplicate_count), lb_m.merged_issues, false as untouched_b from lb_m join ca using (ord)
        union all select ca.*, 1 as merged_issues, true as untouched_b from ca where stack_hash is null),
-lc_m as (select arg_min(ord, [cast(untouched_b as int), ord]) as ord, sum(duplicate_count) as dup, count(*) as merged_issues from lb
+lc_m as (select arg_min(ord, [cast(untouched_b as int), ord]) as ord, cast(sum(duplicate_count) as bigint) as dup, count(*) as merged_issues from lb
          where crash_location is not null and crash_location <> '' group by crash_location, coalesce(faulting_instruction, ''), top_cwe),
 lcc as (select lb.* replace (lc_m.dup as duplicate_count, lc_m.merged_issues as merged_issues), false as untouched_c from lc_m join lb using (ord)
         union all select lb.*, true as untouched_c from lb where crash_location is null or crash_location = ''),

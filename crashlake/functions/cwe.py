@@ -61,9 +61,11 @@ def compact(items: list[Column]) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
-def overflow_header(raw: Column) -> Column:
+def overflow_header(raw: Column, lowered: Column | None = None) -> Column:
     """D3: evidence from a `*-buffer-overflow` header and the first READ/WRITE line."""
     kind = F.lower(F.regexp_extract(raw, jre(R.OVERFLOW_HEADER, i=True), 1))
+    if lowered is not None:
+        kind = F.when(lowered.contains("-buffer-overflow"), kind).otherwise(F.lit(""))
     access = F.upper(F.regexp_extract(raw, jre(R.ACCESS_LINE, i=True, m=True), 1))
     by_kind = (F.when(kind == "stack", R.OVERFLOW_WRITE_CWE["stack"])
                 .when(kind == "heap", R.OVERFLOW_WRITE_CWE["heap"])
@@ -74,10 +76,32 @@ def overflow_header(raw: Column) -> Column:
              .otherwise(ev(by_kind, R.OVERFLOW_NO_ACCESS_WEIGHT)))
 
 
-def sanitizer_rule_hits(raw: Column) -> list[Column]:
-    """One item per rule, NULL when the rule does not match."""
-    return [F.when(raw.rlike(jre(p, i=True, s=dotall)), ev(cwe, w))
-            for p, cwe, w, dotall in R.SANITIZER_RULES]
+# A lowercase literal every match of the rule at the same position must
+# contain (derived from each pattern).  Testing it on the lower-cased text
+# first skips the case-insensitive regex scan for rules that cannot match.
+RULE_GUARDS = [
+    "after", "return", "scope", "double", "allocation",
+    "segv on unknown address", "null", "segv on unknown address", "segv on unknown address",
+    "segv on unknown address", "signed", "unsigned", "shift", "negation of", "zero",
+    "out of bounds for type", "null", "pointer", "misaligned address", "memorysanitizer",
+    "variable length array", "__ubsan_handle_", "__ubsan_handle_", "__ubsan_handle_",
+    "__ubsan_handle_", "__ubsan_handle_", "__ubsan_handle_", "__ubsan_handle_", "__ubsan_handle_",
+]
+
+
+def sanitizer_rule_hits(raw: Column, lowered: Column | None = None) -> list[Column]:
+    """One item per rule, NULL when the rule does not match.
+
+    With `lowered` (= lower(raw), computed once) each regex runs only when
+    the rule's necessary literal occurs.
+    """
+    out = []
+    for (p, cwe, w, dotall), guard in zip(R.SANITIZER_RULES, RULE_GUARDS):
+        hit = raw.rlike(jre(p, i=True, s=dotall))
+        if lowered is not None:
+            hit = lowered.contains(guard) & hit
+        out.append(F.when(hit, ev(cwe, w)))
+    return out
 
 
 def sanitizer_evidence(raw: Column) -> Column:

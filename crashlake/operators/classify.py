@@ -47,6 +47,7 @@ def _base_cols() -> list[Column]:
     return [
         D.signal_class(F.col("signal")).alias("signal_class"),
         dbg["raw"].alias("_raw"),
+        F.lower(dbg["raw"]).alias("_lraw"),
         F.coalesce(dbg["backtrace"], F.array().cast("array<string>")).alias("backtrace"),
         dbg["faulting_instruction"].alias("faulting_instruction"),
         dbg["faulting_address"].alias("faulting_address"),
@@ -61,7 +62,8 @@ def _fact_cols() -> list[Column]:
     so_pat = jre(R.STACK_OVERFLOW + f"(?!.*{R.STACK_OVERFLOW_EXCLUDE})", i=True)
     dbg_cols = F.struct(F.col("backtrace").alias("backtrace"), F.col("faulting_instruction").alias("faulting_instruction"))
     return [
-        F.when(has & (raw != ""), D.compact([D.overflow_header(raw), *D.sanitizer_rule_hits(raw)]))
+        F.when(has & (raw != ""), D.compact([D.overflow_header(raw, F.col("_lraw")),
+                                             *D.sanitizer_rule_hits(raw, F.col("_lraw"))]))
          .otherwise(_empty()).alias("_san_items"),
         D.frame_functions(F.col("backtrace")).alias("_funcs"),
         (has & D.stack_exhaustion(dbg_cols)).alias("_exh"),
@@ -110,7 +112,7 @@ def facts(df: DataFrame) -> DataFrame:
     df = df.select("*", _heur_col())
     df = df.select("*", _all_col())
     df = df.select("*", _evidence_col())
-    return df.drop("_raw", "_san_items", "_heur_items", "_all", "_funcs", "_exh", "_so")
+    return df.drop("_raw", "_lraw", "_san_items", "_heur_items", "_all", "_funcs", "_exh", "_so")
 
 
 @per_context

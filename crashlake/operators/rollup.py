@@ -11,20 +11,17 @@ from crashlake.operators.sequence import attach_scalar, global_index
 def count_by_axis(ranked: DataFrame) -> DataFrame:
     """G1: issue counts per signal class, crash site, region and verdict in one pass.
 
-    GROUPING SETS aggregate all four axes over one scan; ties in count are
-    ordered by first appearance in the ranked list (`first_rank`).
+    GROUPING SETS aggregate all four axes over one scan (one shuffle); ties in
+    count are ordered by first appearance in the ranked list (`first_rank`).
     """
-    ranked.createOrReplaceTempView("_g1_ranked")
-    return ranked.sparkSession.sql("""
-        select case when grouping(signal_class) = 0 then 'signal_class'
-                    when grouping(crash_site_kind) = 0 then 'crash_site_kind'
-                    when grouping(memory_region) = 0 then 'memory_region'
-                    else 'exploitability' end as axis,
-               coalesce(signal_class, crash_site_kind, memory_region, exploitability) as value,
-               count(*) as n, min(issue_rank) as first_rank
-        from _g1_ranked
-        group by grouping sets ((signal_class), (crash_site_kind), (memory_region), (exploitability))
-    """)
+    axes = ["signal_class", "crash_site_kind", "memory_region", "exploitability"]
+    g = ranked.groupingSets([[a] for a in axes], *axes).agg(
+        F.count(F.lit(1)).alias("n"), F.min("issue_rank").alias("first_rank"),
+        *[F.grouping(a).alias(f"_g_{a}") for a in axes])
+    axis = None
+    for a in axes:
+        axis = F.when(F.col(f"_g_{a}") == 0, F.lit(a)) if axis is None else axis.when(F.col(f"_g_{a}") == 0, F.lit(a))
+    return g.select(axis.alias("axis"), F.coalesce(*[F.col(a) for a in axes]).alias("value"), "n", "first_rank")
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:

@@ -177,10 +177,14 @@ _VIEWS: dict = {}
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture view as a Spark DataFrame over the parquet tables in `sf_dir` (lazy plan, memoized)."""
-    key = (id(spark), sf_dir, name)
-    if key not in _VIEWS:
-        _VIEWS[key] = _view(spark, sf_dir, name)
-    return _VIEWS[key]
+    from crashlake.functions.cache import context_key
+
+    key = (context_key(spark.sparkContext), sf_dir, name)
+    hit = _VIEWS.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, _view(spark, sf_dir, name))
+        _VIEWS[key] = hit
+    return hit[1]
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,10 +32,13 @@ def register_tables(spark: SparkSession, sf_dir: str, names: list[str] | None =
     Views are resolved when a DataFrame is analysed, so frames built earlier
     keep reading the directory they were built against.
     """
-    key = (id(spark), sf_dir, tuple(names or ()))
-    if _REGISTERED.get("current") == key:
+    from crashlake.functions.cache import context_key
+
+    names = list(names or ["documents", "events", "supplier", "part", "lineitem"])
+    key = (id(spark), context_key(spark.sparkContext), sf_dir, tuple(names))
+    if _REGISTERED.get("current") == key and spark.catalog.tableExists(names[0]):
         return
-    for name in names or ["documents", "events", "supplier", "part", "lineitem"]:
+    for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     _REGISTERED["current"] = key
 

@@ -14,10 +14,6 @@ _AT_LOC = jre(R.NORMALIZE_LOC)
 _HEX = jre(R.HEX_ADDRESS, i=True)
 
 
-def is_noise_frame(f: Column) -> Column:
-    return f.rlike(_NOISE)
-
-
 def meaningful_frames(bt: Column) -> Column:
     """B1: frames without libc/sanitizer/signal noise; all frames if every one is noise."""
     kept = F.filter(bt, lambda f: ~f.rlike(_NOISE))

@@ -459,10 +459,6 @@ def _lc_with(*extra_views: str) -> str:
     return f"with {views('v_log', *extra_views)},\n{log_rows('select ord, signal, raw from v_log')}"
 
 
-def _dist(col_ctes: str, src: str) -> str:
-    return col_ctes
-
-
 def build() -> dict[str, str]:
     Q: dict[str, str] = {}
     LC = _lc_with()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -59,8 +58,4 @@ def cut_lineage(df, eager: bool = True):
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = held.checkpoint(eager=True)
     held.unpersist(blocking=False)
-    return out
-
-
-def env_cores(default: str = "8") -> str:
-    return os.environ.get("BENCH_CPUS", default)
+    return out
\ No newline at end of file

@@ -166,12 +166,6 @@ def render(name: str, engine: str) -> str:
     return sql.replace("{LEN}", _LEN[engine])
 
 
-def duckdb_prelude() -> str:
-    """`create temp view` statements for every fixture view, for DuckDB."""
-    order = [n for n in FIXTURE_SQL if n not in _DEPENDENCIES] + list(_DEPENDENCIES)
-    return "\n".join(f"create or replace temp view {n} as {render(n, 'duckdb')};" for n in order)
-
-
 _VIEWS: dict = {}
 
 

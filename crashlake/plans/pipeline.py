@@ -1,0 +1,93 @@
+"""Triage of a fuzzer output directory: the library entry a user runs.
+
+    result = run_triage(spark, "hdfs:///fuzz/out", replay_logs=logs, symbols=syms,
+                        source_lines=src, roots=["/src"], out_dir="hdfs:///triage/run1")
+
+Inputs besides the directory are tables produced by the external tools:
+`replay_logs(path, attempt, stdout, stderr)` (debugger/sanitizer replays),
+`symbols(lo, hi, func, loc)` (the target's debug info) and
+`source_lines(file, line, text)` (the source tree).  Without replay logs the
+crashes are classified from their signal only (the no-replay mode).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crashlake.functions.patterns import PY_LINE_BREAK
+from crashlake.operators import classify as K
+from crashlake.operators import dedup as C
+from crashlake.operators import rank as FR
+from crashlake.operators import rollup as G
+from crashlake.operators.sink import write_triage_tables
+from crashlake.session import cut_lineage
+from crashlake.sources import ingest as I
+
+
+@dataclass
+class TriageResult:
+    raw: DataFrame            # one row per crash file
+    issues: DataFrame         # final issues, ranked (`issue_rank`)
+    members: DataFrame        # every crash file with its final issue
+    stats: DataFrame          # per-instance fuzzer statistics
+    plot: DataFrame           # crashes-over-time points in file order
+    rollups: dict[str, DataFrame]
+
+
+def _named_files(spark: SparkSession, root: str, file_name: str) -> DataFrame:
+    """Whole text of every file called `file_name` under `root`, with its instance."""
+    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
+          .text(root, wholetext=True).withColumn("path", F.input_file_name()))
+    return df.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("fuzzer_instance"),
+                     F.col("value").alias("body"))
+
+
+def read_stats(spark: SparkSession, root: str) -> DataFrame:
+    """A5/A6 over every `fuzzer_stats` file."""
+    return I.with_timestamps(I.parse_fuzzer_stats(_named_files(spark, root, "fuzzer_stats")))
+
+
+def read_plot(spark: SparkSession, root: str) -> DataFrame:
+    """A7 over every `plot_data` file; `line_no` keeps the file order (one file is one bounded row)."""
+    files = _named_files(spark, root, "plot_data")
+    lines = files.select("fuzzer_instance", F.posexplode(F.split("body", PY_LINE_BREAK)).alias("line_no", "line"))
+    return I.parse_plot_lines(lines.withColumn("line_no", F.col("line_no").cast("bigint")))
+
+
+def run_triage(spark: SparkSession, afl_out: str, replay_logs: DataFrame | None = None,
+               symbols: DataFrame | None = None, source_lines: DataFrame | None = None,
+               roots: list[str] | None = None, out_dir: str | None = None) -> TriageResult:
+    raw = I.scan_crash_files(spark, afl_out, with_content=True)
+    raw = cut_lineage(raw)                                       # hash once; content never shuffled
+    level_a = C.dedup_exact(raw.select("input_sha1", "ord", "path", "name", "fuzzer_instance", "signal", "size"))
+    if replay_logs is not None:
+        logs = I.replay_results(replay_logs, key="path", only=level_a).select("path", "dbg")
+        classified = K.classify_full(level_a, logs, symbols, source_lines, roots, key="path")
+    else:
+        classified = (K.classify_static(level_a)
+                      .withColumn("backtrace", F.array().cast("array<string>"))
+                      .withColumn("crash_location", F.lit(None).cast("string"))
+                      .withColumn("crash_function", F.lit(None).cast("string"))
+                      .withColumn("faulting_instruction", F.lit(None).cast("string")))
+    classified = cut_lineage(C.stack_key(classified))
+    level_b = C.dedup_stack(classified)
+    level_c = C.dedup_location(level_b)
+    issues = FR.sorted_index(FR.prioritize(level_c), FR.priority_order(["untouched_c", "untouched_b", "ord"]),
+                             out_col="issue_rank")
+    members = C.issue_members(raw, classified, level_b)
+    flat = issues.select("*", F.col("taxonomy.crash_site_kind").alias("crash_site_kind"),
+                         F.col("taxonomy.memory_region").alias("memory_region"))
+    rollups = {
+        "count_by_axis": G.count_by_axis(flat),
+        "severity_counts": G.severity_counts(issues),
+        "report_totals": G.report_totals(raw, issues),
+    }
+    result = TriageResult(raw.drop("content") if "content" in raw.columns else raw, issues, members,
+                          read_stats(spark, afl_out), read_plot(spark, afl_out), rollups)
+    if out_dir is not None:
+        write_triage_tables(out_dir, issues, members,
+                            {**rollups, "fuzzer_stats": result.stats.drop("raw"), "plot_points": result.plot})
+    return result

@@ -1,6 +1,6 @@
 """Incremental level-A triage of crash files as fuzzers write them.
 
-The batch pipeline is the same operators; here the crash directory is a
+The batch plan uses the same operators; here the crash directory is a
 Structured Streaming file source (`binaryFile`), each micro-batch hashes only
 the new files, and the exact-dedup groups (first crash, count) are streaming
 aggregation state, so a representative never has to be recomputed from all

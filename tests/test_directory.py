@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from crashlake.plans.pipeline import run_triage
+from crashlake.plans.directory import run_triage
 
 
 def test_static_run(spark, afl_out, tmp_path):

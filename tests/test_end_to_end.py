@@ -9,7 +9,7 @@ from crashlake.operators import rollup as G
 from crashlake.sources import ingest as I
 
 
-def test_static_pipeline(spark, afl_out):
+def test_static_triage(spark, afl_out):
     raw = I.scan_crash_files(spark, str(afl_out), with_content=True)
     a = C.dedup_exact(raw.select("input_sha1", "ord", "name", "path", "signal", "size"))
     cl = K.classify_static(a).withColumn("backtrace", F.array().cast("array<string>"))

@@ -242,6 +242,32 @@ def weight_total(dist: Column) -> Column:
     return _fsum(dist)
 
 
+def py_round3(x: Column) -> Column:
+    """Round a non-negative double to 3 places the way Python's round() does.
+
+    Python rounds the exact binary value; `bround` rounds its shortest decimal
+    rendering.  They differ only when that rendering is a tie d.ddd5 while the
+    binary value lies just above or below it (e.g. 0.0375 -> 0.037).  For a
+    tie the exact side is found with integer arithmetic: x * 2^s is an exact
+    integer, compared with k * 2^s where k/10^4 is the tie.
+    """
+    k = F.round(x * 10000.0).cast("long")
+    tie = ((k % 10) == 5) & ((k.cast("double") / 10000.0) == x)
+    shift = F.when(x >= 2.0 ** -9, F.lit(62)).otherwise(F.lit(70))
+    m = F.when(shift == 62, (x * float(2 ** 62)).cast("long")) \
+         .otherwise((x * float(2 ** 70)).cast("long")).cast("decimal(38,0)")
+    scale = F.when(shift == 62, F.lit(2 ** 62).cast("decimal(38,0)")) \
+             .otherwise(F.lit(2 ** 62).cast("decimal(38,0)") * F.lit(256).cast("decimal(38,0)"))
+    lhs = m * F.lit(10000).cast("decimal(38,0)")
+    rhs = k.cast("decimal(38,0)") * scale
+    down = ((k - 5).cast("double") / 10000.0)
+    up = ((k + 5).cast("double") / 10000.0)
+    return (F.when(~tie, F.bround(x, 3))
+             .when(lhs < rhs, down)
+             .when(lhs > rhs, up)
+             .otherwise(F.bround(x, 3)))
+
+
 def normalize(dist: Column, total: Column | None = None) -> Column:
     """Weights over their total, rounded half-even to 3 places; empty -> unknown 1.0.
 
@@ -249,7 +275,7 @@ def normalize(dist: Column, total: Column | None = None) -> Column:
     """
     total = _fsum(dist) if total is None else total
     return F.when(total <= 0, lit_dist([("unknown", 1.0)])).otherwise(
-        F.transform(dist, lambda x: ev(x["cwe"], F.bround(x["w"] / total, 3))))
+        F.transform(dist, lambda x: ev(x["cwe"], py_round3(x["w"] / total))))
 
 
 def top_cwe(dist: Column) -> Column:

@@ -203,13 +203,25 @@ ev_merged as (select ord, cwe, min(seq) as pos, max(w) as w from ev_items
               group by ord, cwe)"""
 
 
+def py_round3_sql(x: str) -> str:
+    """Python round(x, 3) for a non-negative DOUBLE, exact on decimal ties (HUGEINT compare)."""
+    k = f"cast(round({x} * 10000.0) as bigint)"
+    tie = f"({k} % 10 = 5 and cast({k} as double) / 10000.0 = {x})"
+    sh = f"(case when {x} >= {2.0 ** -9} then 62 else 70 end)"
+    m = f"cast({x} * pow(2.0, {sh}) as hugeint)"
+    scale = f"cast(pow(2.0, {sh}) as hugeint)"
+    lhs, rhs = f"({m} * 10000)", f"(cast({k} as hugeint) * {scale})"
+    return (f"(case when not {tie} then round_even({x}, 3) when {lhs} < {rhs} then cast({k} - 5 as double) / 10000.0 "
+            f"when {lhs} > {rhs} then cast({k} + 5 as double) / 10000.0 else round_even({x}, 3) end)")
+
+
 def normalize_ctes(merged: str, keys: str) -> str:
     """CTEs `dist` (ord, cwe, pos, w) normalized and `dist_agg` (ord, distribution, top_cwe).
 
     `keys` is a relation with every ord (those without items get unknown:1.0).
     """
     return f"""tot as (select ord, fsum(w) as total from {merged} group by ord),
-dist as (select m.ord, m.cwe, m.pos, round_even(m.w / t.total, 3) as w from {merged} m join tot t using (ord) where t.total > 0
+dist as (select m.ord, m.cwe, m.pos, {py_round3_sql('(m.w / t.total)')} as w from {merged} m join tot t using (ord) where t.total > 0
          union all
          select k.ord, 'unknown' as cwe, 0 as pos, cast(1.0 as double) as w from {keys} k
          where k.ord not in (select ord from tot where total > 0)),

@@ -124,3 +124,13 @@ def test_level_c_merges_location(spark):
     out = {r.ord: r for r in C.dedup_location(b).collect()}
     assert set(out) == {1, 3}
     assert out[1].duplicate_count == 3 and out[3].untouched_c
+
+
+def test_rounding_follows_python_round(spark):
+    import random
+
+    random.seed(7)
+    vals = [0.0375, 0.0125, 0.3 / 1.6, 0.0625, 0.0005, 0.9995] + [random.randint(0, 10000) / 10000 for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(D.py_round3(F.col("x"))).collect()]
+    assert got == [round(v, 3) for v in vals]

@@ -251,21 +251,23 @@ def py_round3(x: Column) -> Column:
     tie the exact side is found with integer arithmetic: x * 2^s is an exact
     integer, compared with k * 2^s where k/10^4 is the tie.
     """
-    k = F.round(x * 10000.0).cast("long")
+    return _py_round3(x, F.round(x * 10000.0).cast("long"))
+
+
+def _py_round3(x: Column, k: Column) -> Column:
+    """`py_round3` with k = round(x * 10^4) given (computed once by the caller)."""
     tie = ((k % 10) == 5) & ((k.cast("double") / 10000.0) == x)
-    shift = F.when(x >= 2.0 ** -9, F.lit(62)).otherwise(F.lit(70))
-    m = F.when(shift == 62, (x * float(2 ** 62)).cast("long")) \
-         .otherwise((x * float(2 ** 70)).cast("long")).cast("decimal(38,0)")
-    scale = F.when(shift == 62, F.lit(2 ** 62).cast("decimal(38,0)")) \
-             .otherwise(F.lit(2 ** 62).cast("decimal(38,0)") * F.lit(256).cast("decimal(38,0)"))
+    small = x < 2.0 ** -9
+    m = F.when(small, (x * float(2 ** 70)).cast("long")).otherwise((x * float(2 ** 62)).cast("long")) \
+         .cast("decimal(38,0)")
+    scale = F.when(small, F.lit(2 ** 62).cast("decimal(38,0)") * F.lit(256).cast("decimal(38,0)")) \
+             .otherwise(F.lit(2 ** 62).cast("decimal(38,0)"))
     lhs = m * F.lit(10000).cast("decimal(38,0)")
     rhs = k.cast("decimal(38,0)") * scale
-    down = ((k - 5).cast("double") / 10000.0)
-    up = ((k + 5).cast("double") / 10000.0)
-    return (F.when(~tie, F.bround(x, 3))
-             .when(lhs < rhs, down)
-             .when(lhs > rhs, up)
-             .otherwise(F.bround(x, 3)))
+    exact = (F.when(lhs < rhs, (k - 5).cast("double") / 10000.0)
+              .when(lhs > rhs, (k + 5).cast("double") / 10000.0)
+              .otherwise(F.bround(x, 3)))
+    return F.when(tie, exact).otherwise(F.bround(x, 3))
 
 
 def normalize(dist: Column, total: Column | None = None) -> Column:
@@ -274,8 +276,11 @@ def normalize(dist: Column, total: Column | None = None) -> Column:
     Pass a materialized `total` column to avoid re-summing per element.
     """
     total = _fsum(dist) if total is None else total
+    ratios = F.transform(dist, lambda x: F.struct(x["cwe"].alias("cwe"), (x["w"] / total).alias("r")))
+    keyed = F.transform(ratios, lambda e: F.struct(e["cwe"].alias("cwe"), e["r"].alias("r"),
+                                                   F.round(e["r"] * 10000.0).cast("long").alias("k")))
     return F.when(total <= 0, lit_dist([("unknown", 1.0)])).otherwise(
-        F.transform(dist, lambda x: ev(x["cwe"], py_round3(x["w"] / total))))
+        F.transform(keyed, lambda e: ev(e["cwe"], _py_round3(e["r"], e["k"]))))
 
 
 def top_cwe(dist: Column) -> Column:

@@ -505,3 +505,74 @@ QUERIES: dict[str, Query] = {
     "instance_stats": instance_stats, "plot_extent": plot_extent, "plot_normalized": plot_normalized,
     "plot_downsample": plot_downsample,
 }
+
+# SURVEY §2 row of every query
+SURVEY_ROW: dict[str, str] = {
+    "scan_crash_files": "A1",
+    "instance_from_path": "A2",
+    "input_sha1": "A3",
+    "signal_from_name": "A4",
+    "scan_fuzzer_stats": "A5",
+    "stats_target_binary": "A6",
+    "scan_plot_data": "A7",
+    "parse_replay_log": "A8",
+    "reject_loader_errors": "A9",
+    "noise_frames": "B1",
+    "normalize_frame": "B2",
+    "stack_hash": "B3",
+    "frame_function": "B4",
+    "first_user_frame": "B5",
+    "first_sanitizer_loc": "B6",
+    "crash_site_location": "B7",
+    "oob_direction": "B8",
+    "log_tail": "B9",
+    "dedup_exact": "C1",
+    "dedup_stack": "C2",
+    "dedup_location": "C3",
+    "dedup_cascade": "C4",
+    "duplicate_members": "C5",
+    "signal_class": "D1",
+    "signal_prior": "D2",
+    "overflow_header": "D3",
+    "sanitizer_rules": "D4",
+    "sanitizer_region": "D5",
+    "debugger_heuristics": "D6",
+    "ubsan_trap_lookup": "D7",
+    "stack_exhaustion": "D8",
+    "recursive_overflow": "D9",
+    "merge_evidence": "D10",
+    "apply_oob_direction": "D11",
+    "normalize_distribution": "D12",
+    "cwe_long": "D13",
+    "top_cwe": "D14",
+    "crash_site": "D15",
+    "memory_region": "D16",
+    "control_flow": "D17",
+    "taxonomy": "D18",
+    "exploit_evidence": "D19",
+    "exploit_score": "D20",
+    "classify_static": "D21",
+    "classify_full": "D22",
+    "join_crash_log": "E1",
+    "symbolize_pc": "E2",
+    "enrich_frames": "E3",
+    "source_snippet": "E4",
+    "resolve_source_path": "E5",
+    "severity_dim": "E6",
+    "label_dims": "E7",
+    "unmatched_logs": "E8",
+    "reduction_ratio": "E9",
+    "prioritize": "F1",
+    "issue_rank": "F2",
+    "section_rank": "F3",
+    "split_sections": "F4",
+    "recommendation": "F5",
+    "concat_passthrough": "F6",
+    "count_by_axis": "G1",
+    "severity_counts": "G2",
+    "report_totals": "G3",
+    "instance_stats": "G4",
+    "plot_extent": "G5",
+    "plot_normalized": "G6",
+    "plot_downsample": "G7",
+}

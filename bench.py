@@ -34,7 +34,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     reps = int(os.environ.get("BENCH_REPS", "1"))
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="crashlake-bench")
+    # shuffled volumes at bench scale are small: one shuffle partition per core (AQE coalesces further)
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus), app="crashlake-bench")
     times: dict[str, float] = {}
     for name in HEADLINE:
         q = QUERIES[name]

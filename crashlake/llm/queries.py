@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crashlake.llm.common import table
+from crashlake.llm.common import id_remainder, table
 
 END_ID = 2
 
@@ -32,5 +32,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlake.llm.langid import identify, train
+
+    docs, rest = table(spark, sf_dir, "documents"), id_remainder("doc_id", 3)
+    return identify(docs, train(docs.where(rest != 1)), rest == 1)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id}
 ORACLE_SQL: dict[str, str] = {}

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from crashlake.session import ensure_checkpoint_dir
 
@@ -92,3 +94,23 @@ def chunks(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
 
 
 LETTER = re.compile(r"[^\W\d_]")
+
+
+def with_text_columns(df: DataFrame, new: Sequence[tuple[str, DataType, pa.DataType]], of: Callable[[list], list], keep: list[str] | None = None) -> DataFrame:
+    """Append columns computed from lists of whole texts of column `text`; the rest passes as Arrow, unconverted.
+
+    keep: the columns of `df` to return, all of them if not given.
+    """
+    at = df.columns.index("text")
+    kept = list(range(len(df.columns))) if keep is None else [df.columns.index(c) for c in keep]
+    schema = StructType([*(df.schema.fields[i] for i in kept), *(StructField(n, t) for n, t, _ in new)])
+    names, kinds = schema.names, [k for _, _, k in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in chunks(texts):
+                own = [pa.array(x, type=k) for x, k in zip(of(texts[a:b]), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in kept), *own], names=names)
+
+    return df.mapInArrow(run, schema)

@@ -22,10 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from crashlake.llm.common import LETTER
+from crashlake.llm.common import LETTER, with_text_columns
 
 DIM = 8192
 SAMPLE = 3000
@@ -117,10 +119,6 @@ def identify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names, values = shared.value.predict(batch["text"].tolist())
-            yield batch[["doc_id", "held_out"]].assign(lang_pred=names, score=values)
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    new = [("lang_pred", StringType(), pa.string()), ("score", DoubleType(), pa.float64())]
+    return with_text_columns(rows, new, lambda texts: list(shared.value.predict(texts)), ["doc_id", "held_out"])

@@ -39,5 +39,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.where(rest != 1)), rest == 1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlake.llm.toxicity import THRESHOLD, labelled_rows, score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = train(labelled_rows(docs, labels, id_remainder("doc_id", 4) != 2))
+    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), index, ["doc_id"])
+    return scored.select(
+        "doc_id",
+        (id_remainder("doc_id", 4) == 2).alias("held_out"),
+        F.col("_toxicity").alias("score"),
+        (F.col("_toxicity") >= THRESHOLD).cast("int").alias("predicted"),
+        F.col("_evidence").alias("evidence"),
+    )
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlake.llm.quality import THRESHOLD, score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs, labels, id_remainder("doc_id", 5) != 0)
+    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])
+    predicted = (F.col("_quality") >= THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), F.col("_quality").alias("score"), predicted)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id, "op6_toxicity": op6_toxicity, "op1_quality": op1_quality}
 ORACLE_SQL: dict[str, str] = {}

@@ -64,5 +64,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), F.col("_quality").alias("score"), predicted)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id, "op6_toxicity": op6_toxicity, "op1_quality": op1_quality}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlake.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id, "op6_toxicity": op6_toxicity, "op1_quality": op1_quality, "op8_minhash": op8_minhash}
 ORACLE_SQL: dict[str, str] = {}

@@ -70,5 +70,15 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id, "op6_toxicity": op6_toxicity, "op1_quality": op1_quality, "op8_minhash": op8_minhash}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlake.llm.decontaminate import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_coverage").alias("coverage"), F.col("_items").alias("item_ids")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id, "op6_toxicity": op6_toxicity, "op1_quality": op1_quality, "op8_minhash": op8_minhash, "op2_decontamination": op2_decontamination}
 ORACLE_SQL: dict[str, str] = {}

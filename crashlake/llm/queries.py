@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crashlake.llm import chat
 from crashlake.llm.common import id_remainder, table
 
 END_ID = 2
@@ -80,5 +81,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id, "op6_toxicity": op6_toxicity, "op1_quality": op1_quality, "op8_minhash": op8_minhash, "op2_decontamination": op2_decontamination}
-ORACLE_SQL: dict[str, str] = {}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlake.llm.rules import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlake.llm.chat import render
+
+    return render(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id, "op6_toxicity": op6_toxicity, "op1_quality": op1_quality, "op8_minhash": op8_minhash, "op2_decontamination": op2_decontamination, "op7_quality_rules": op7_quality_rules, "op9_chat": op9_chat}
+ORACLE_SQL: dict[str, str] = {"op9_chat": chat.ORACLE}

@@ -33,39 +33,49 @@ COMMON = 0.004
 CLASS_CHARS, WORD_WORDS = 100, 40
 CLASS_MAX, WORD_MAX = 0.3, 0.42
 SYMBOLS = "#*$%&|<>"
-#: Characters of each class; what is in none of them, and white space, are two more classes.
-CLASSES = ("A-Z", "a-z", "0-9", SYMBOLS)
+#: Lower-case letters are counted by what removing them takes away, the other classes in what is left.
+LOWER, CLASSES = "a-z", ("A-Z", "0-9", SYMBOLS, ".,;:!?'\"()-")
+N_CLASSES = len(CLASSES) + 3
 
 
 def _words(text: str = "text") -> Column:
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), f"[{SPACE_CLASS}]+", -1), lambda w: w != "")
 
 
-def _class_counts(word_chars: str = "word_chars", text: str = "_text") -> list[Column]:
-    own = [F.length(F.regexp_replace(text, f"[^{c}]+", "")).cast("long") for c in CLASSES]
-    return [*own, F.col(word_chars) - sum(own[1:], own[0]), F.length(text) - F.col(word_chars)]
+def _hashes() -> Column:
+    return F.transform("_words", lambda w: F.xxhash64(w))
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """doc_id, _words, _classes and the base counts of each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"), _words().alias("_words"))
-    has_word = f"[^{SPACE_CLASS}]"
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(has_word))
-    rows = rows.withColumns({"n_words": F.size("_words").cast("long"), "_lines": lines, "word_chars": F.length(F.array_join("_words", "")).cast("long")})
-    windows = F.when(
-        F.col("n_words") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), (F.col("n_words") - (WINDOW - 1)).cast("int")), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
+def _with_classes(rows: DataFrame) -> DataFrame:
+    """word_chars, and _classes: lower-case letters, each of CLASSES, what is in none of these, white space."""
     rows = rows.withColumns({
-        "_classes": F.array(*_class_counts()),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_windows": windows,
+        "_rest": F.regexp_replace("_text", f"[{LOWER}{SPACE_CLASS}]+", ""),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
     })
+    own = [F.length(F.regexp_replace("_rest", f"[^{c}]+", "")).cast("long") for c in CLASSES]
+    other = F.length("_rest") - sum(own[1:], own[0])
+    return rows.withColumn("_classes", F.array(F.col("word_chars") - F.length("_rest"), *own, other, F.length("_text") - F.col("word_chars"))).drop("_rest")
+
+
+def _pair_hashes(c: str, step: int) -> Column:
+    """Hash of each element with the one `step` places on; the last `step` ones mean nothing."""
+    return F.transform(c, lambda x, i: F.xxhash64(x, F.get(c, i + step)))
+
+
+def base(docs: DataFrame) -> DataFrame:
+    """doc_id, _hashes (of the words), _classes and the base counts of each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"), _words().alias("_words"))
+    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
+    rows = _with_classes(rows).withColumns({"n_words": F.size("_words").cast("long"), "_lines": lines, "_hashes": _hashes()})
+    rows = rows.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_words", "_lines", "_text")
+    # windows of two, four and eight words
+    rows = rows.withColumn("_w2", _pair_hashes("_hashes", 1)).withColumn("_w4", _pair_hashes("_w2", 2)).withColumn("_w8", _pair_hashes("_w4", 4))
+    windows = F.slice("_w8", F.lit(1), F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)).cast("int"))
+    rows = rows.withColumn("_windows", windows).drop("_w2", "_w4", "_w8")
     # hashes with their places in order, where one occurs again: equal ones are neighbours
     again = F.size("_windows") > F.size(F.array_distinct("_windows"))
     rows = rows.withColumn("_order", F.when(again, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    near = lambda x, i: (F.get("_order", i - 1)["h"] == x["h"]) | F.coalesce(F.get("_order", i + 1)["h"] == x["h"], F.lit(False))
-    same = F.filter("_order", lambda x, i: F.coalesce(near(x, i), F.coalesce(F.get("_order", i + 1)["h"] == x["h"], F.lit(False))))
+    same = F.filter("_order", lambda x, i: F.coalesce((i > 0) & (F.get("_order", i - 1)["h"] == x["h"]), F.lit(False)) | F.coalesce(F.get("_order", i + 1)["h"] == x["h"], F.lit(False)))
     rows = rows.withColumn("_places", F.array_sort(F.transform(same, lambda x: x["i"])))
     covered = F.aggregate(
         "_places",
@@ -73,10 +83,10 @@ def base(docs: DataFrame) -> DataFrame:
         lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    rows = rows.withColumns({"n_symbols": F.element_at("_classes", 1 + CLASSES.index(SYMBOLS)), "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long"))})
+    rows = rows.withColumns({"n_symbols": F.element_at("_classes", 2 + CLASSES.index(SYMBOLS)), "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long"))})
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_words", "_classes"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_hashes", "_classes"
     )
 
 
@@ -86,8 +96,9 @@ class References:
 
     languages: list[str]
     classes: list[list[float]]
-    words: list[str | None]
+    words: list[int | None]  # hashes
     shares: list[list[float]]
+    low: int = 0  # bits of a word's hash that aren't compared
 
 
 def references(docs: DataFrame) -> References:
@@ -97,30 +108,35 @@ def references(docs: DataFrame) -> References:
     driver is at most 1 / COMMON words and one row of classes per language.
     """
     rows = docs.where(F.col("lang").isNotNull()).select("lang", F.coalesce("text", F.lit("")).alias("_text"), _words().alias("_words"))
-    counted = rows.select("lang", F.explode("_words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    sizes = rows.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-    sizes = sizes.select("lang", F.size("_words").alias("n"), F.array(*_class_counts()).alias("_c"))
-    sums = [F.sum(F.col("_c")[k]).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
+    sums = [F.sum(F.col("_classes")[k]).alias(f"c{k}") for k in range(N_CLASSES)]
+    sizes = _with_classes(rows).select("lang", F.size("_words").alias("n"), "_classes")
     totals = {r["lang"]: r for r in sizes.groupBy("lang").agg(F.sum("n").alias("n"), *sums).collect()}
     totals = {k: r for k, r in sorted(totals.items()) if r["n"]}
     if not totals:
         return References([], [], [], [])
-    least = F.create_map(*[x for k, r in totals.items() for x in (F.lit(k), F.lit(COMMON * r["n"]))])
-    found = counted.where(F.col("n") >= least[F.col("lang")]).select("lang", "word", "n", F.xxhash64("word").alias("h")).collect()
+    names = list(totals)
+    # one number for word and language, as such keys are counted fastest: the lowest bits of the hash give way
+    low = (1 << max(1, len(names) - 1).bit_length()) - 1
+    number = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.lit(i).cast("long"))])
+    rows = rows.withColumn("_l", number[F.col("lang")]).where(F.col("_l").isNotNull())
+    keys = F.transform("_words", lambda w: F.xxhash64(w).bitwiseAND(F.lit(~low)).bitwiseOR(F.col("_l")))
+    counted = rows.select(F.explode(keys).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    least = _literal([COMMON * totals[k]["n"] for k in names])
+    found = counted.where(F.col("n") >= F.get(least, F.col("k").bitwiseAND(F.lit(low)).cast("int"))).collect()
+    found = [(r["k"] & ~low, r["k"] & low, r["n"]) for r in found]
     # the smallest table in which every common word has a slot of its own
-    hashes = {r["word"]: r["h"] for r in found}
+    hashes = sorted({h for h, _, _ in found})
     size = max(64, len(hashes))
-    while len({h % size for h in hashes.values()}) < len(hashes):
+    while len({h % size for h in hashes}) < len(hashes):
         size += 1
-    words: list[str | None] = [None] * size
-    for w, h in hashes.items():
-        words[h % size] = w
-    names = list(totals)
+    words: list[int | None] = [None] * size
+    for h in hashes:
+        words[h % size] = h
     shares = [[0.0] * size for _ in names]
-    for r in found:
-        shares[names.index(r["lang"])][r["h"] % size] = r["n"] / totals[r["lang"]]["n"]
-    classes = [[totals[k][f"c{j}"] / max(sum(totals[k][f"c{i}"] for i in range(len(CLASSES) + 2)), 1) for j in range(len(CLASSES) + 2)] for k in names]
-    return References(names, classes, words, shares)
+    for h, k, n in found:
+        shares[k][h % size] = n / totals[names[k]]["n"]
+    classes = [[totals[k][f"c{j}"] / max(sum(totals[k][f"c{i}"] for i in range(N_CLASSES)), 1) for j in range(N_CLASSES)] for k in names]
+    return References(names, classes, words, shares, low)
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -139,9 +155,10 @@ def distances(rows: DataFrame, ref: References) -> DataFrame:
         none = F.array().cast("array<double>")
         return rows.withColumns({"_class_js": none, "_word_js": none})
     at = F.sequence(F.lit(0), F.lit(len(ref.languages) - 1))
-    table, size = F.array(*[F.lit(w) for w in ref.words]), len(ref.words)
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int")
-    rows = rows.withColumn("_slots", F.sort_array(F.transform(F.filter("_words", lambda w: F.get(table, slot(w)) == w), slot)))
+    table, size = F.array(*[F.lit(w).cast("long") for w in ref.words]), len(ref.words)
+    slot = lambda h: F.pmod(h, F.lit(size)).cast("int")
+    cut = lambda h: h.bitwiseAND(F.lit(~ref.low))
+    rows = rows.withColumn("_slots", F.sort_array(F.transform(F.filter("_hashes", lambda h: F.get(table, slot(cut(h))) == cut(h)), lambda h: slot(cut(h)))))
     starts = F.filter(F.transform("_slots", lambda x, i: i), lambda i: (i == 0) | (F.get("_slots", i) != F.get("_slots", i - 1)))
     rows = rows.withColumn("_starts", starts)
     run = lambda p, k: F.struct(

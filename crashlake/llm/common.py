@@ -110,7 +110,7 @@ def with_text_columns(df: DataFrame, new: Sequence[tuple[str, DataType, pa.DataT
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in chunks(texts):
-                own = [pa.array(x, type=k) for x, k in zip(of(texts[a:b]), kinds, strict=True)]
+                own = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(of(texts[a:b]), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in kept), *own], names=names)
 
     return df.mapInArrow(run, schema)

@@ -87,11 +87,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlake.llm.substrings import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crashlake.llm.chat import render
 
     return render(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id, "op6_toxicity": op6_toxicity, "op1_quality": op1_quality, "op8_minhash": op8_minhash, "op2_decontamination": op2_decontamination, "op7_quality_rules": op7_quality_rules, "op9_chat": op9_chat}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id, "op6_toxicity": op6_toxicity, "op1_quality": op1_quality, "op8_minhash": op8_minhash, "op2_decontamination": op2_decontamination, "op7_quality_rules": op7_quality_rules, "op9_chat": op9_chat, "op4_suffix_dedup": op4_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {"op9_chat": chat.ORACLE}

@@ -31,7 +31,7 @@ WINDOW = 8
 LEAST_WORDS = 20
 COMMON = 0.004
 CLASS_CHARS, WORD_WORDS = 100, 40
-CLASS_MAX, WORD_MAX = 0.3, 0.42
+CLASS_MAX, WORD_MAX = 0.33, 0.42
 SYMBOLS = "#*$%&|<>"
 #: Lower-case letters are counted by what removing them takes away, the other classes in what is left.
 LOWER, CLASSES = "a-z", ("A-Z", "0-9", SYMBOLS, ".,;:!?'\"()-")

@@ -99,5 +99,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_records": op3_token_records, "op5_mixing": op5_mixing, "op10_language_id": op10_language_id, "op6_toxicity": op6_toxicity, "op1_quality": op1_quality, "op8_minhash": op8_minhash, "op2_decontamination": op2_decontamination, "op7_quality_rules": op7_quality_rules, "op9_chat": op9_chat, "op4_suffix_dedup": op4_suffix_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_decontamination, op3_token_records, op4_suffix_dedup, op5_mixing,
+        op6_toxicity, op7_quality_rules, op8_minhash, op9_chat, op10_language_id,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op9_chat": chat.ORACLE}

@@ -11,10 +11,13 @@ Only collections that some other document shares can form a table that does,
 so those are found first by counting 16 rows per document, and table keys are
 made of these alone.  Candidates are checked on the full sets, in rounds of a
 linear number of pairs: first each document with the smallest of the ids it
-meets; later, in tables that still hold several components, with at most
-`CENTRES` documents per table, which are then done.  The rounds end when no
-table holds two components, so no link between components is lost and a group
-of copies never yields all its pairs.  Documents with equal sets are one to all
+meets.  The documents in tables that still hold several components meet again
+if they share a shingle among the rarest quarter of their sets, as similar sets
+must (prefix filter), and are of similar size; there, each is checked with a few
+documents of other components per shingle (`CENTRES`, four times as many each
+round), which are then done.  The rounds end when no shingle holds two
+components, so no link between components is lost, and what is in one
+component is never paired again.  Documents with equal sets are one to all
 this and share their links.
 
 Defined cases: fewer than five words make one shingle, the whole sequence; a
@@ -26,6 +29,8 @@ table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -89,6 +94,24 @@ def table_keys(reps: DataFrame) -> DataFrame:
     return stored(keys.join(met, "key").select("id", "n", "key"), "met-keys")
 
 
+def prefix_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, n, key): the shingles of each document's prefix that another's set has, too.
+
+    Sets of which 75 % is common share a shingle of their n - ceil(0.75 n) + 1
+    rarest ones, rarity being counted over these documents.  Shingles of one
+    document take their places in its prefix but can't be met.
+    """
+    own = sets.join(ids, "id").select("id", F.size("own").alias("n"), F.explode("own").alias("key"))
+    rare = own.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = own.join(rare, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("c"))  # one set
+    places = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("c"))
+    shared = shared.withColumn("r", places.cast("int")).where("r > 0")
+    # sizes in the proportion of 3 to 4 or nearer are in one class or in neighbouring ones
+    size = F.floor(F.log(F.col("n") + 0.5) / math.log(100 / PERCENT))
+    keys = shared.withColumn("k", size).select("id", "n", "k", F.explode(F.slice("c.key", 1, F.col("r"))).alias("key"))
+    return stored(keys.select("id", "n", F.explode(F.array(F.xxhash64("key", "k"), F.xxhash64("key", F.col("k") + 1))).alias("key")), "prefix-keys")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("own").alias("_x"))
@@ -117,7 +140,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return [[shingles(t).view(np.int64) for t in texts]]
 
     # a repeated id keeps one of its texts here for each set that it represents
-    wanted = keys.select("id", "n").distinct()
+    wanted = stored(keys.select("id", "n").distinct(), "candidates")  # of a known size: Spark broadcasts it if small
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
     new = [("own", ArrayType(LongType()), pa.list_(pa.int64()))]
     sets = with_text_columns(texts, new, full, ["id", "n"]).where(F.size("own") == F.col("n")).dropDuplicates(["id", "n"]).select("id", "own")
@@ -128,18 +151,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = keys.join(first, "key").where((F.col("id") != F.col("c.id")) & _similar_size("n", "c.n"))
     pairs = met.groupBy(F.col("id").alias("a")).agg(F.min("c.id").alias("b"))
     links = stored(verified(pairs, sets).unionByName(copies), "links")
+    by_table, centres = True, CENTRES
+    labels = components(links)
     while True:
-        labels = components(links)
         placed = keys.join(labels, "id", "left").select("id", "n", "key", F.coalesce("component", "id").alias("comp"))
         mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("key")
         left = stored(placed.join(mixed_keys, "key"), "left-keys")
         if left.isEmpty():
             break
-        centre = left.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(CENTRES)).alias("_s")).agg(F.min(F.struct("id", "n", "comp")).alias("c"))
+        if by_table:
+            keys, by_table = prefix_keys(left.select("id").distinct(), sets), False
+            continue
+        centre = left.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(centres)).alias("_s")).agg(F.min(F.struct("id", "n", "comp")).alias("c"))
         centre = stored(centre.drop("_s"), "centres")
         met = left.join(centre, "key").where((F.col("comp") != F.col("c.comp")) & _similar_size("n", "c.n"))
         pairs = met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
         links = stored(verified(pairs, sets).unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))), "links")
+        labels, centres = components(links), 4 * centres
         done = centre.select("key", F.col("c.id").alias("id"))
         keys = left.join(done, ["key", "id"], "left_anti").select("id", "n", "key")
     out = rows.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")

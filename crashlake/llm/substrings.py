@@ -229,18 +229,23 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     variants = distinct.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1")
     wanted = distinct.join(variants, "h").select("h", "ph", "one.*", (F.col("variants") > HOT).alias("hot"))
     by_doc = wanted.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list(F.struct("h", "ph", "s", "e", "hot")).alias("_w"))
-    texts = keyed(docs).join(by_doc, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    by_doc = stored(by_doc, "wanted")
+    ids = stored(by_doc.select(F.col("_k").alias("key")).distinct(), "wanted-keys")  # of a known size: Spark broadcasts it if small
+    texts = keyed(docs).join(ids, "key", "left_semi").join(by_doc, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     texts = texts.select("key", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.explode("_w").alias("w"))
     data = F.substring(F.col("text"), (F.col("w.s") + 1).cast("int"), (F.col("w.e") - F.col("w.s") + WIDTH).cast("int"))
-    taken = stored(texts.select("w.h", "w.ph", "key", "w.s", data.alias("data"), "w.hot"), "piece-bytes")
+    taken = texts.select("w.h", "w.ph", "key", "w.s", data.alias("data"), "w.hot")
 
     schema = "key binary, s long, e long"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sharded = taken.where(~F.col("hot")).drop("hot").repartition(n, "h").sortWithinPartitions("h", "ph").mapInArrow(_sharded, schema)
+    spans = spans.unionByName(sharded)
+    if variants.where(F.col("variants") > HOT).isEmpty():
+        return spans
     windows = taken.where("hot").drop("hot").dropDuplicates(["h", "ph"]).mapInArrow(_window_hashes, "w binary, key binary, s long")
     again = windows.groupBy("w").agg(F.count("*").alias("_n")).where("_n > 1").select("w")
     hot = windows.join(again, "w").select("key", "s", F.col("s").alias("e"))
-    return spans.unionByName(sharded).unionByName(hot)
+    return spans.unionByName(hot)
 
 
 def _removed(text: str | None, starts: list, ends: list) -> tuple[int, int, int, str]:
@@ -263,7 +268,13 @@ def _removed(text: str | None, starts: list, ends: list) -> tuple[int, int, int,
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of `docs`."""
     own = repeated_windows(docs).groupBy(F.col("key").alias("_k")).agg(F.collect_set(F.struct("s", "e")).alias("_r"))  # at most one a byte
-    rows = keyed(docs).join(own, F.col("key") == F.col("_k"), "left")
+    own = stored(own, "spans")
+    keys = stored(own.select(F.col("_k").alias("key")), "span-keys")  # of a known size: texts that keep all needn't move if it is small
+    whole = keyed(docs).join(keys, "key", "left_anti").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+    rows = keyed(docs).join(keys, "key", "left_semi").join(own, F.col("key") == F.col("_k"))
     rows = rows.select("doc_id", "text", F.coalesce(F.col("_r.s"), F.array().cast("array<bigint>")).alias("_s"), F.coalesce(F.col("_r.e"), F.array().cast("array<bigint>")).alias("_e"))
     schema = StructType([
         StructField("doc_id", LongType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
@@ -276,4 +287,4 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             columns = [pa.array([g[i] for g in got], pa.string() if i == 3 else pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).unionByName(whole)

@@ -132,9 +132,9 @@ def ubsan_trap(insn: Column) -> Column:
     """`ud1/ud2 0xNN(` handler id (absent = 0) to its evidence item."""
     pat = jre(R.UD_INSN, i=True)
     g = F.regexp_extract(insn, pat, 1)
-    hid = (F.when(g == "", F.lit(0))
-            .when(F.length(F.regexp_replace(g, "^0+", "")) > 8, F.lit(-1))
-            .otherwise(F.conv(g, 16, 10).cast("int")))
+    # an id out of range is unknown, as any id that isn't in the table
+    digits = F.concat(F.lit("0"), F.regexp_replace(g, "^0+", ""))
+    hid = F.when(F.length(digits) <= 9, F.conv(digits, 16, 10).try_cast("int"))
     return F.when(insn.isNotNull() & insn.rlike(pat), F.try_element_at(_trap_map(), hid))
 
 

@@ -30,9 +30,9 @@ def unmatched_logs(issues: DataFrame, usable_logs: DataFrame, key: str = "ord")
 
 def symbol_bins(symbols: DataFrame, bin_size: int = SYMBOL_BIN) -> DataFrame:
     """Symbol ranges [lo, hi] exploded to the address bins they cover."""
+    at = lambda c: F.floor(F.col(c).cast("decimal(20,0)") / bin_size).cast("long")
     return symbols.select(
-        F.explode(F.sequence(F.floor(F.col("lo") / bin_size).cast("long"),
-                             F.floor(F.col("hi") / bin_size).cast("long"))).alias("_bin"),
+        F.explode(F.sequence(at("lo"), at("hi"))).alias("_bin"),
         F.col("lo").cast("decimal(20,0)").alias("_lo"), F.col("hi").cast("decimal(20,0)").alias("_hi"),
         "func", "loc")
 
@@ -47,8 +47,10 @@ def _clean_symbol(func: Column, loc: Column) -> tuple[Column, Column]:
 
 def symbolize(df: DataFrame, addr_col: str, symbols: DataFrame, prefix: str = "sym_",
               bin_size: int = SYMBOL_BIN) -> DataFrame:
-    """Address -> (function, file:line) from a non-overlapping `symbols(lo, hi, func, loc)` table.
+    """Address -> (function, file:line) from a `symbols(lo, hi, func, loc)` table.
 
+    Ranges may overlap (aliases, inlined functions): each distinct address gets
+    the narrowest range that holds it, so rows never multiply.
     Unresolved addresses, '??' / 'optimized out' functions and '??:0' locations
     give NULLs; a location in libc clears both.  Rows without an address skip
     the join (no NULL-key hot partition).
@@ -62,7 +64,11 @@ def symbolize(df: DataFrame, addr_col: str, symbols: DataFrame, prefix: str = "s
         F.col("func").alias(f"{p}func"), F.col("loc").alias(f"{p}loc"))
     cond = ((F.col(f"{p}bin") == F.col(f"{p}sbin")) & (F.col(f"{p}addr") >= F.col(f"{p}lo"))
             & (F.col(f"{p}addr") <= F.col(f"{p}hi")))
-    j = with_addr.join(bins, on=cond, how="left")
+    addrs = with_addr.select(f"{p}addr", f"{p}bin").distinct()
+    found = addrs.join(bins, on=cond).groupBy(F.col(f"{p}addr").alias(f"{p}at")).agg(
+        F.min(F.struct((F.col(f"{p}hi") - F.col(f"{p}lo")).alias("width"), f"{p}lo", f"{p}func", f"{p}loc")).alias(f"{p}one"))
+    found = found.select(f"{p}at", f"{p}one.{p}func", f"{p}one.{p}loc")
+    j = with_addr.join(found, on=F.col(f"{p}addr") == F.col(f"{p}at"), how="left")
     func, loc = _clean_symbol(F.col(f"{p}func"), F.col(f"{p}loc"))
     hit = j.select(*[F.col(c) for c in df.columns], func.alias(f"{prefix}func"), loc.alias(f"{prefix}loc"))
     miss = df.where(addr.isNull()).select("*", F.lit(None).cast("string").alias(f"{prefix}func"),
@@ -140,10 +146,9 @@ def source_snippets(df: DataFrame, source_lines: DataFrame, roots: list[str]) ->
     locs = df.select("crash_location").where(F.col("crash_location").isNotNull()).distinct()
     files = source_files(source_lines)
     res = resolve_source(locs, files, roots)
-    line = F.regexp_extract("crash_location", jre(R.SNIPPET_LOC), 2).cast("long")
+    line = F.regexp_extract("crash_location", jre(R.SNIPPET_LOC), 2).try_cast("long")
     ok = (res.withColumn("crash_line", line)
-          .where((F.col("size_bytes") <= R.SNIPPET_MAX_FILE_BYTES)
-                 & (F.col("crash_line") >= 1) & (F.col("crash_line") <= F.col("n_lines"))))
+          .where((F.col("crash_line") >= 1) & (F.col("crash_line") <= F.col("n_lines"))))
     want = ok.select("crash_location", "file", "crash_line",
                      F.explode(F.sequence(F.greatest(F.col("crash_line") - R.SNIPPET_CONTEXT, F.lit(1)),
                                           F.least(F.col("crash_line") + R.SNIPPET_CONTEXT, F.col("n_lines"))))

@@ -376,7 +376,7 @@ located as (select *, case when not coalesce(starts_with(l0, '/'), false) and sl
             cands.append(f"select crash_location, {2 * i + 1} as rank, {join('p')} as file from sp")
             cands.append(f"select crash_location, {2 * i + 2} as rank, {join('regexp_extract(p, ' + q('([^/]*)$') + ', 1)')} as file from sp")
         parts.append(f"""sp as (select crash_location, regexp_extract(crash_location, {rx(R.SNIPPET_LOC)}, 1) as p,
-              cast(regexp_extract(crash_location, {rx(R.SNIPPET_LOC)}, 2) as bigint) as crash_line
+              try_cast(regexp_extract(crash_location, {rx(R.SNIPPET_LOC)}, 2) as bigint) as crash_line
        from (select distinct crash_location from located) d where regexp_matches(crash_location, {rx(R.SNIPPET_LOC)})),
 sfiles as (select file, max(line) as n_lines, sum(strlen(text) + 1) as size_bytes from v_source_lines group by file),
 cand as ({' union all '.join(cands)}),
@@ -385,7 +385,7 @@ res as (select crash_location, arg_min(file, rank) as file, arg_min(n_lines, ran
         where file is not null and file <> '' group by crash_location),
 ctext as (select r.crash_location, coalesce(s.text, '') as crash_line_text from res r join sp using (crash_location)
           left join v_source_lines s on s.file = r.file and s.line = sp.crash_line
-          where r.size_bytes <= {R.SNIPPET_MAX_FILE_BYTES} and sp.crash_line between 1 and r.n_lines),
+          where sp.crash_line between 1 and r.n_lines),
 dirs as (select l.ord, {oob_direction_sql(f"coalesce({match('l.raw', R.OOB_UBSAN, i=True)}, false)", 'c.crash_line_text')} as oob_direction
          from located l left join ctext c on c.crash_location = l.crash_location)""")
     else:
@@ -640,13 +640,13 @@ from raw join a_b using (input_sha1) join b_c on b_c.b_ord = a_b.b_ord"""
                           f"enr as (select ord, string_agg(f, '|' order by pos) as bt from fr_e group by ord) "
                           f"select lc.ord, coalesce(enr.bt, '') as backtrace from lc left join enr using (ord)")
     Q["source_snippet"] = (f"with {views('v_loc', 'v_source_lines')}, sp as (select distinct crash_location, regexp_extract(crash_location, {rx(R.SNIPPET_LOC)}, 1) as p, "
-                           f"cast(regexp_extract(crash_location, {rx(R.SNIPPET_LOC)}, 2) as bigint) as crash_line from v_loc where regexp_matches(crash_location, {rx(R.SNIPPET_LOC)})), "
+                           f"try_cast(regexp_extract(crash_location, {rx(R.SNIPPET_LOC)}, 2) as bigint) as crash_line from v_loc where regexp_matches(crash_location, {rx(R.SNIPPET_LOC)})), "
                            f"sfiles as (select file, max(line) as n_lines, sum(strlen(text) + 1) as size_bytes from v_source_lines group by file), "
                            f"cand as (select crash_location, 0 as rank, p as file, crash_line from sp where starts_with(p, '/') union all "
                            f"select crash_location, 1, p, crash_line from sp union all select crash_location, 2, regexp_extract(p, '([^/]*)$', 1), crash_line from sp), "
                            f"res as (select crash_location, arg_min(file, rank) as file, arg_min(n_lines, rank) as n_lines, arg_min(size_bytes, rank) as size_bytes, "
                            f"any_value(crash_line) as crash_line from cand join sfiles using (file) where file <> '' group by crash_location), "
-                           f"ok as (select * from res where size_bytes <= {R.SNIPPET_MAX_FILE_BYTES} and crash_line between 1 and n_lines), "
+                           f"ok as (select * from res where crash_line between 1 and n_lines), "
                            f"want as (select crash_location, file, crash_line, unnest(range(greatest(crash_line - 3, 1), least(crash_line + 3, n_lines) + 1)) as line from ok) "
                            f"select w.crash_location, w.file as snippet_file, w.crash_line, w.line, coalesce(s.text, '') as text from want w "
                            f"left join v_source_lines s on s.file = w.file and s.line = w.line")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,19 +29,35 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def crash_folders(spark: SparkSession, root: str) -> list[str]:
+    """`root/crashes` and `root/*/crashes`, as far as they exist."""
+    found = []
+    for pattern in (f"{root.rstrip('/')}/crashes", f"{root.rstrip('/')}/*/crashes"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # the reader takes globs, so their characters in a folder's name are escaped
+        found += [re.sub(r"([\\\[\]{}*?])", r"\\\1", s.getPath().toString()) for s in fs.globStatus(path) or [] if s.isDirectory()]
+    return sorted(found)
+
+
 def scan_crash_files(spark: SparkSession, root: str, with_content: bool = False,
                      crash_dirs_only: bool = True) -> DataFrame:
-    """A1/A3: every regular file under `root`, skipping names starting README.
+    """A1/A3: crash files of `root` itself or of its direct children, skipping names starting README.
 
-    `binaryFile` lists files on the executors' file system API (no driver
-    walk); `content` is only read when the hash is selected, and it is
-    dropped right after hashing so the bytes never reach a shuffle.
+    Only the `crashes` folders are listed and read (with crash_dirs_only off,
+    every file below `root`); a file that can't be read fails the job.
+    `content` is only read when the hash is selected, and it is dropped right
+    after hashing so the bytes never reach a shuffle.
     """
-    df = (spark.read.format("binaryFile")
-          .option("recursiveFileLookup", "true")
-          .option("ignoreCorruptFiles", "true")
-          .option("ignoreMissingFiles", "true")
-          .load(root))
+    reader = spark.read.format("binaryFile").schema(BINARY_FILE)
+    if crash_dirs_only:
+        folders = crash_folders(spark, root)
+        df = reader.load(folders) if folders else spark.createDataFrame([], BINARY_FILE)
+    else:
+        df = reader.option("recursiveFileLookup", "true").load(root)
     name = file_name(F.col("path"))
     cols = [F.col("path"), name.alias("name"), instance_from_path(F.col("path")).alias("fuzzer_instance"),
             signal_from_name(name).alias("signal"), F.col("length").alias("size")]

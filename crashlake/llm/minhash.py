@@ -14,8 +14,10 @@ linear number of pairs: first each document with the smallest of the ids it
 meets.  The documents in tables that still hold several components meet again
 if they share a shingle among the rarest quarter of their sets, as similar sets
 must (prefix filter), and are of similar size; there, each is checked with a few
-documents of other components per shingle (`CENTRES`, four times as many each
-round), which are then done.  The rounds end when no shingle holds two
+documents of other components per shingle (`CENTRES`, eight times as many each
+round), which are then done.  Before a pair's full sets are brought together,
+small bitmaps of the sets bound what they can share, which never rejects a pair
+that is similar enough.  The rounds end when no shingle holds two
 components, so no link between components is lost, and what is in one
 component is never paired again.  Documents with equal sets are one to all
 this and share their links.
@@ -95,7 +97,7 @@ def table_keys(reps: DataFrame) -> DataFrame:
 
 
 def prefix_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, n, key): the shingles of each document's prefix that another's set has, too.
+    """(id, n, key, pos): the shingles of each document's prefix that another's set has, too, and how many of its own are rarer.
 
     Sets of which 75 % is common share a shingle of their n - ceil(0.75 n) + 1
     rarest ones, rarity being counted over these documents.  Shingles of one
@@ -108,8 +110,40 @@ def prefix_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
     shared = shared.withColumn("r", places.cast("int")).where("r > 0")
     # sizes in the proportion of 3 to 4 or nearer are in one class or in neighbouring ones
     size = F.floor(F.log(F.col("n") + 0.5) / math.log(100 / PERCENT))
-    keys = shared.withColumn("k", size).select("id", "n", "k", F.explode(F.slice("c.key", 1, F.col("r"))).alias("key"))
-    return stored(keys.select("id", "n", F.explode(F.array(F.xxhash64("key", "k"), F.xxhash64("key", F.col("k") + 1))).alias("key")), "prefix-keys")
+    keys = shared.withColumn("k", size).select("id", "n", "k", (F.col("n") - F.size("c")).alias("alone"), F.posexplode(F.slice("c.key", 1, F.col("r"))).alias("at", "key"))
+    return stored(keys.select("id", "n", (F.col("alone") + F.col("at")).alias("pos"), F.explode(F.array(F.xxhash64("key", "k"), F.xxhash64("key", F.col("k") + 1))).alias("key")), "prefix-keys")
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """A bit for each shingle, in at least four times as many bits, a power of two, as there are shingles."""
+    bits = max(64, 4 << max(len(own) - 1, 0).bit_length())
+    marked = np.zeros(bits, np.uint8)
+    marked[own & np.uint64(bits - 1)] = 1
+    return np.packbits(marked).tobytes()
+
+
+def most_common(n: int, x: bytes, m: int, y: bytes) -> int:
+    """At least the number of shingles that sets of sizes n and m share: each bit that only one has is a shingle of its own."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    width = min(len(p), len(q))
+    p, q = (np.bitwise_or.reduce(z.reshape(-1, width), axis=0).view(np.uint64) for z in (p, q))
+    return min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) whose bitmaps don't rule out that the sets are similar enough."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_x"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_y"))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in ("_n", "_x", "_m", "_y")), strict=True):
+                both = most_common(n, x, m, y)
+                keep.append(100 * both >= PERCENT * (n + m - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -126,6 +160,12 @@ def _similar_size(n: str, m: str):
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def _can_start(n: str, i: str, m: str, j: str):
+    """True if sets of sizes n and m can be similar enough when the rarest shingle that they share is at places i and j of them."""
+    rest = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+    return (100 + PERCENT) * rest >= PERCENT * (F.col(n) + F.col(m))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of `docs`."""
     rows = stored(sketch(docs), "sketch")
@@ -134,27 +174,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = stored(known.select("doc_id", "n_shingles", "set_key", "collections").join(least, "set_key").drop("set_key"), "members")
     copies = member.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = member.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "collections")
-    keys = table_keys(reps)
+    keys = table_keys(reps).withColumn("pos", F.lit(0))
 
     def full(texts: list) -> list:
-        return [[shingles(t).view(np.int64) for t in texts]]
+        own = [shingles(t) for t in texts]
+        return [[x.view(np.int64) for x in own], [bitmap(x) for x in own]]
 
     # a repeated id keeps one of its texts here for each set that it represents
     wanted = stored(keys.select("id", "n").distinct(), "candidates")  # of a known size: Spark broadcasts it if small
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
-    new = [("own", ArrayType(LongType()), pa.list_(pa.int64()))]
-    sets = with_text_columns(texts, new, full, ["id", "n"]).where(F.size("own") == F.col("n")).dropDuplicates(["id", "n"]).select("id", "own")
+    new = [("own", ArrayType(LongType()), pa.list_(pa.int64())), ("bits", BinaryType(), pa.binary())]
+    sets = with_text_columns(texts, new, full, ["id", "n"]).where(F.size("own") == F.col("n")).dropDuplicates(["id", "n"]).select("id", "n", "own", "bits")
     sets = stored(sets, "sets")
 
     # the first round: each document with the smallest id that it meets
     first = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"))
     met = keys.join(first, "key").where((F.col("id") != F.col("c.id")) & _similar_size("n", "c.n"))
     pairs = met.groupBy(F.col("id").alias("a")).agg(F.min("c.id").alias("b"))
-    links = stored(verified(pairs, sets).unionByName(copies), "links")
+    links = stored(verified(possible(pairs, sets), sets).unionByName(copies), "links")
     by_table, centres = True, CENTRES
     labels = components(links)
     while True:
-        placed = keys.join(labels, "id", "left").select("id", "n", "key", F.coalesce("component", "id").alias("comp"))
+        placed = keys.join(labels, "id", "left").select("id", "n", "key", "pos", F.coalesce("component", "id").alias("comp"))
         mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("key")
         left = stored(placed.join(mixed_keys, "key"), "left-keys")
         if left.isEmpty():
@@ -162,14 +203,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if by_table:
             keys, by_table = prefix_keys(left.select("id").distinct(), sets), False
             continue
-        centre = left.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(centres)).alias("_s")).agg(F.min(F.struct("id", "n", "comp")).alias("c"))
+        centre = left.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(centres)).alias("_s")).agg(F.min(F.struct("id", "n", "pos", "comp")).alias("c"))
         centre = stored(centre.drop("_s"), "centres")
-        met = left.join(centre, "key").where((F.col("comp") != F.col("c.comp")) & _similar_size("n", "c.n"))
+        met = left.join(centre, "key").where((F.col("comp") != F.col("c.comp")) & _can_start("n", "pos", "c.n", "c.pos"))
         pairs = met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-        links = stored(verified(pairs, sets).unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))), "links")
-        labels, centres = components(links), 4 * centres
+        links = stored(verified(possible(pairs, sets), sets), "links")
+        if not links.isEmpty():
+            labels = components(links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        centres *= 8
         done = centre.select("key", F.col("c.id").alias("id"))
-        keys = left.join(done, ["key", "id"], "left_anti").select("id", "n", "key")
+        keys = left.join(done, ["key", "id"], "left_anti").select("id", "n", "key", "pos")
     out = rows.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))

@@ -63,6 +63,17 @@ def test_minhash_matches_all_pairs(docs, rows, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_bitmaps_never_rule_out_what_is_shared():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 16, 17, 300, 1024, 1025):
+        for part in (0, 0.5, 0.75, 0.9, 1):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            new = rng.integers(0, 1 << 63, int(size * (1.2 - part)) + 1, dtype=np.uint64)
+            b = np.unique(np.concatenate([a[: int(size * part)], new]))
+            most = minhash.most_common(len(a), minhash.bitmap(a), len(b), minhash.bitmap(b))
+            assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+
+
 def test_substrings_match_brute_force(docs, rows, empty):
     data = [(i, (t or "").encode()) for i, t, *_ in rows]
     seen = Counter(d[k : k + 400] for _, d in data for k in range(len(d) - 399))

@@ -40,7 +40,7 @@ def sorted_index(df: DataFrame, sort: list[Column], group_cols: list[str] | None
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
         if group_cols else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *group_cols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = s.join(F.broadcast(offsets), on=["_pid", *group_cols])
+    out = s.join(offsets, on=["_pid", *group_cols])
     return out.withColumn(out_col, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")
 
 
@@ -87,8 +87,8 @@ def recommendation(issues: DataFrame) -> DataFrame:
     adv_map = F.create_map(*[F.lit(x) for kv in R.ERROR_ADVICE.items() for x in kv])
     advice = F.coalesce(F.try_element_at(adv_map, F.col("signal_class")), F.lit(R.ERROR_ADVICE_DEFAULT))
     advice = F.regexp_replace(advice, r"\.+$", "")
-    lower_first = F.concat(F.lower(F.substring(advice, 1, 1)), F.substring(advice, 2, 1 << 20))
-    upper_first = F.concat(F.upper(F.substring(advice, 1, 1)), F.substring(advice, 2, 1 << 20))
+    lower_first = F.concat(F.lower(F.substring(advice, 1, 1)), F.substr(advice, F.lit(2)))
+    upper_first = F.concat(F.upper(F.substring(advice, 1, 1)), F.substr(advice, F.lit(2)))
     text = F.when(prefix != "", F.concat(prefix, F.lit(": "), lower_first, F.lit("."))) \
             .otherwise(F.concat(upper_first, F.lit(".")))
     return df.withColumn("recommendation", text).drop("_w")

@@ -49,7 +49,7 @@ def hex_to_decimal(h: Column) -> Column:
     Longer values (beyond 16 significant digits) saturate at the largest
     DECIMAL(20,0), which keeps every address comparison of the rules right.
     """
-    digits = F.regexp_replace(F.substring(h, 3, 1 << 20), "^0+", "")
+    digits = F.regexp_replace(F.substr(h, F.lit(3)), "^0+", "")
     return (F.when(h.isNull(), F.lit(None).cast("decimal(20,0)"))
              .when(digits == "", F.lit(0).cast("decimal(20,0)"))
              .when(F.length(digits) > 16, F.lit("99999999999999999999").cast("decimal(20,0)"))

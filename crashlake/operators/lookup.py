@@ -165,7 +165,7 @@ def source_snippets(df: DataFrame, source_lines: DataFrame, roots: list[str]) ->
 def oob_direction(raw_is_oob: Column, source_line: Column) -> Column:
     """B8: 'write' / 'read' / NULL from the text after the first ']' of the crash line."""
     idx = F.instr(source_line, "]")
-    after = F.regexp_replace(F.substring(source_line, idx + 1, 1 << 30), r"(?U)^[\s\x1c-\x1f]+", "")
+    after = F.regexp_replace(F.substr(source_line, idx + 1), r"(?U)^[\s\x1c-\x1f]+", "")
     write = after.rlike(r"^[+\-*/%&|^]=") | (after.startswith("=") & ~after.startswith("=="))
     return (F.when(~raw_is_oob | source_line.isNull() | (idx == 0), F.lit(None).cast("string"))
              .when(after == "", "read")

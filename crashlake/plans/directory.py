@@ -37,22 +37,14 @@ class TriageResult:
     rollups: dict[str, DataFrame]
 
 
-def _named_files(spark: SparkSession, root: str, file_name: str) -> DataFrame:
-    """Whole text of every file called `file_name` under `root`, with its instance."""
-    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
-          .text(root, wholetext=True).withColumn("path", F.input_file_name()))
-    return df.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("fuzzer_instance"),
-                     F.col("value").alias("body"))
-
-
 def read_stats(spark: SparkSession, root: str) -> DataFrame:
-    """A5/A6 over every `fuzzer_stats` file."""
-    return I.with_timestamps(I.parse_fuzzer_stats(_named_files(spark, root, "fuzzer_stats")))
+    """A5/A6 over the `fuzzer_stats` file of every instance."""
+    return I.with_timestamps(I.parse_fuzzer_stats(I.read_instance_files(spark, root, "fuzzer_stats")))
 
 
 def read_plot(spark: SparkSession, root: str) -> DataFrame:
-    """A7 over every `plot_data` file; `line_no` keeps the file order (one file is one bounded row)."""
-    files = _named_files(spark, root, "plot_data")
+    """A7 over the `plot_data` file of every instance; `line_no` keeps the file order (one file is one bounded row)."""
+    files = I.read_instance_files(spark, root, "plot_data")
     lines = files.select("fuzzer_instance", F.posexplode(F.split("body", PY_LINE_BREAK)).alias("line_no", "line"))
     return I.parse_plot_lines(lines.withColumn("line_no", F.col("line_no").cast("bigint")))
 

@@ -32,14 +32,18 @@ def file_name(path: Column) -> Column:
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def crash_folders(spark: SparkSession, root: str) -> list[str]:
-    """`root/crashes` and `root/*/crashes`, as far as they exist."""
+def escape_glob(path: str) -> str:
+    """A path for readers that take globs."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def instance_entries(spark: SparkSession, root: str, name: str, folders: bool = False) -> list[str]:
+    """`root/name` and `root/*/name`, as far as such files (or folders) exist: an instance is the root or its child."""
     found = []
-    for pattern in (f"{root.rstrip('/')}/crashes", f"{root.rstrip('/')}/*/crashes"):
+    for pattern in (f"{root.rstrip('/')}/{name}", f"{root.rstrip('/')}/*/{name}"):
         path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        # the reader takes globs, so their characters in a folder's name are escaped
-        found += [re.sub(r"([\\\[\]{}*?])", r"\\\1", s.getPath().toString()) for s in fs.globStatus(path) or [] if s.isDirectory()]
+        found += [escape_glob(s.getPath().toString()) for s in fs.globStatus(path) or [] if s.isDirectory() == folders]
     return sorted(found)
 
 
@@ -54,7 +58,7 @@ def scan_crash_files(spark: SparkSession, root: str, with_content: bool = False,
     """
     reader = spark.read.format("binaryFile").schema(BINARY_FILE)
     if crash_dirs_only:
-        folders = crash_folders(spark, root)
+        folders = instance_entries(spark, root, "crashes", folders=True)
         df = reader.load(folders) if folders else spark.createDataFrame([], BINARY_FILE)
     else:
         df = reader.option("recursiveFileLookup", "true").load(root)
@@ -78,7 +82,7 @@ def parse_fuzzer_stats(texts: DataFrame, body_col: str = "body") -> DataFrame:
     lines = F.split(F.col(body_col), PY_LINE_BREAK)
     kv = F.transform(F.filter(lines, lambda l: l.contains(":")), lambda l: F.struct(
         py_strip(F.substring_index(l, ":", 1)).alias("k"),
-        py_strip(F.substring(l, F.instr(l, ":") + 1, 1 << 30)).alias("v")))
+        py_strip(F.substr(l, F.instr(l, ":") + 1)).alias("v")))
     df = texts.withColumn("_kv", kv)
     keys = F.array_distinct(F.transform(F.col("_kv"), lambda x: x["k"]))
     df = df.withColumn("raw", F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(
@@ -124,10 +128,17 @@ def with_timestamps(stats: DataFrame) -> DataFrame:
                  .withColumn("last_update", F.timestamp_seconds("last_update_epoch")))
 
 
-def read_text_files(spark: SparkSession, pattern: str, whole: bool) -> DataFrame:
-    """Text files under a glob, with the instance taken from the parent directory."""
-    df = spark.read.text(pattern, wholetext=whole).withColumn("path", F.input_file_name())
-    return df.withColumn("fuzzer_instance", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+def read_instance_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(fuzzer_instance, body): whole text of each instance's file `name`; the instance is its folder.
+
+    `input_file_name` is percent-encoded, crash paths are not: it is decoded so that both give the same instance.
+    """
+    files = instance_entries(spark, root, name)
+    if not files:
+        return spark.createDataFrame([], "fuzzer_instance string, body string")
+    df = spark.read.text(files, wholetext=True).withColumn("path", F.input_file_name())
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    return df.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("fuzzer_instance"), F.col("value").alias("body"))
 
 
 def parse_plot_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:

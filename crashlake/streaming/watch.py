@@ -13,21 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashlake import rules as R
-from crashlake.sources.ingest import file_name, instance_from_path, signal_from_name
 from crashlake.session import ensure_checkpoint_dir
-
-# fixed schema of the binaryFile source
-BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
+from crashlake.sources.ingest import BINARY_FILE, escape_glob, file_name, instance_from_path, signal_from_name
 
 def crash_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 10000) -> DataFrame:
-    """A1/A3/A4 as a stream: new files under `<root>/<instance>/crashes/`."""
-    df = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-          .option("recursiveFileLookup", "true")
+    """A1/A3/A4 as a stream: new files in `<root>/crashes/` and `<root>/<instance>/crashes/`, as the batch scan takes them.
+
+    The glob is resolved again for every micro-batch, so instances that start later are found.
+    """
+    df = (spark.readStream.format("binaryFile").schema(BINARY_FILE)
           .option("maxFilesPerTrigger", max_files_per_trigger)
-          .load(root))
+          .load(f"{escape_glob(root.rstrip('/'))}/{{crashes,*/crashes}}"))
     name = file_name(F.col("path"))
-    return (df.where(~name.startswith(R.SKIP_NAME_PREFIX) & F.col("path").rlike(r"/crashes/[^/]+$"))
+    return (df.where(~name.startswith(R.SKIP_NAME_PREFIX))
               .select(F.col("path"), name.alias("name"), instance_from_path(F.col("path")).alias("fuzzer_instance"),
                       signal_from_name(name).alias("signal"), F.col("length").alias("size"),
                       F.sha1(F.col("content")).alias("input_sha1")))

@@ -2,41 +2,41 @@
 
 from pyspark.sql import functions as F
 
+from conftest import CRASHES, PLOT
 from crashlake.operators import dedup as C
+from crashlake.plans.directory import read_plot, read_stats
 from crashlake.sources import ingest as I
 
 
-def test_scan_reads_crashes_skips_readme(spark, afl_out):
-    raw = I.scan_crash_files(spark, str(afl_out), with_content=True)
-    rows = raw.collect()
-    assert len(rows) == 5
-    assert {r.signal for r in rows} == {11, 6, 8}
-    assert {r.fuzzer_instance for r in rows} == {"fuzzer01"}
-    assert all(r.size == 16 for r in rows)
+def test_scan_reads_crashes_skips_readme(spark, campaign):
+    rows = I.scan_crash_files(spark, str(campaign), with_content=True).collect()
+    found = {(r.fuzzer_instance, r.name): r.size for r in rows}
+    assert len(rows) == 6
+    assert found == {(w, n): len(b) for w, files in CRASHES.items() for n, b in files.items()}
+    assert sorted(r.signal for r in rows) == [6, 7, 8, 11, 11, 11]
 
 
-def test_exact_dedup_of_tree(spark, afl_out):
-    raw = I.scan_crash_files(spark, str(afl_out), with_content=True)
+def test_exact_dedup_of_tree(spark, campaign):
+    raw = I.scan_crash_files(spark, str(campaign), with_content=True)
     a = C.dedup_exact(raw.select("input_sha1", "ord", "name", "path", "signal", "size"))
     rows = a.collect()
     assert len(rows) == 4
     dup = [r for r in rows if r.duplicate_count > 1]
-    assert len(dup) == 1 and dup[0].duplicate_count == 2
+    assert len(dup) == 1 and dup[0].duplicate_count == 3
     # the first file in (instance, name) order represents the group
     assert dup[0].name.startswith("id_000000")
 
 
-def test_fuzzer_stats(spark, afl_out):
-    texts = I.read_text_files(spark, f"{afl_out}/*/fuzzer_stats", whole=True).withColumnRenamed("value", "body")
-    st = I.parse_fuzzer_stats(texts).collect()
-    assert len(st) == 1
-    s = st[0]
-    assert s.execs_done == 123456
-    assert s.afl_version == "++4.21c"
-    assert s.paths_total == 42 and s.unique_crashes == 5 and s.unique_hangs == 0
-    assert s.execs_per_sec == 2048.5
-    assert s.target_binary == "@@"
-    assert s.start_time_epoch == 1700000000
+def test_fuzzer_stats(spark, campaign):
+    st = {s.fuzzer_instance: s for s in read_stats(spark, str(campaign)).collect()}
+    assert set(st) == {"gifdec", "gifdec 2"}
+    new, old = st["gifdec"], st["gifdec 2"]
+    assert (new.execs_done, new.execs_per_sec, new.afl_version) == (987001, 311.25, "4.30a")
+    assert (new.paths_total, new.unique_crashes, new.unique_hangs) == (77, 3, 1)
+    assert new.target_binary == "--fast"      # the last token of the command line
+    assert (new.start_time_epoch, new.last_update_epoch) == (1690000100, 1690007300)
+    assert (old.paths_total, old.unique_crashes, old.unique_hangs, old.afl_version) == (12, 3, 0, "2.57b")
+    assert old.target_binary == "qemu" and old.command_line is None
 
 
 def test_stats_fallbacks_and_duplicates(spark):
@@ -51,11 +51,9 @@ def test_stats_fallbacks_and_duplicates(spark):
     assert s.start_time_epoch is None
 
 
-def test_plot_data(spark, afl_out):
-    lines = I.read_text_files(spark, f"{afl_out}/*/plot_data", whole=False).withColumnRenamed("value", "line")
-    pts = I.parse_plot_lines(lines).orderBy("unix_time").collect()
-    assert len(pts) == 3
-    assert pts[-1].unique_crashes == 5
+def test_plot_data(spark, campaign):
+    pts = read_plot(spark, str(campaign)).orderBy("line_no").collect()
+    assert [(p.unix_time, p.unique_crashes) for p in pts] == PLOT      # the short line is dropped
 
 
 def test_signal_from_name(spark):

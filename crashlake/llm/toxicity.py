@@ -33,7 +33,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
@@ -41,7 +41,7 @@ from crashlake.llm.common import with_text_columns
 
 EXAMPLES = 20_000
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 1024
 LEAST_RATIO = 30.0
 LEAST_ROWS = 8
 TERMS = 20_000
@@ -66,7 +66,8 @@ class Index:
     unmatched: float = 0.0
 
     def __post_init__(self) -> None:
-        n_blocks = -(-len(self.vectors) // BLOCK)
+        self.block = BLOCK
+        n_blocks = -(-len(self.vectors) // self.block)
         postings: dict[str, list[tuple[int, float]]] = {}
         for i, v in enumerate(self.vectors):
             for t, w in v.items():
@@ -75,9 +76,9 @@ class Index:
         self.block_max: dict[str, np.ndarray] = {}
         for t, p in postings.items():
             at, w = np.array([x for x, _ in p]), np.array([x for _, x in p])
-            self.lists[t] = at, w, np.searchsorted(at, np.arange(n_blocks + 1) * BLOCK)
+            self.lists[t] = at, w, np.searchsorted(at, np.arange(n_blocks + 1) * self.block)
             top = np.zeros(n_blocks)
-            np.maximum.at(top, at // BLOCK, w)
+            np.maximum.at(top, at // self.block, w)
             self.block_max[t] = top
         self.seen: dict[tuple, tuple[float, list[int]]] = {}
 
@@ -101,11 +102,11 @@ class Index:
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0.0 or bound[b] < least - 1e-12:
                 break
-            score = np.zeros(BLOCK)
+            score = np.zeros(self.block)
             for t, w in known:
                 at, weight, cut = self.lists[t]
-                score[at[cut[b] : cut[b + 1]] - b * BLOCK] += w * weight[cut[b] : cut[b + 1]]
-            found += [(float(score[i]), b * BLOCK + int(i)) for i in np.flatnonzero((score > 0.0) & (score >= least - 1e-12))]
+                score[at[cut[b] : cut[b + 1]] - b * self.block] += w * weight[cut[b] : cut[b + 1]]
+            found += [(float(score[i]), b * self.block + int(i)) for i in np.flatnonzero((score > 0.0) & (score >= least - 1e-12))]
             found.sort(key=lambda x: (-x[0], x[1]))
             n = 0
             for j, (s, i) in enumerate(found):
@@ -168,13 +169,27 @@ def build(examples: list[tuple[int, bool, dict[str, int]]], df: dict[str, int],
     index = Index(idf, [dict(k) for k in keys], clean, toxic, [min(d for d, _ in groups[k]) for k in keys])
     bare = groups.get((), [])
     index.unmatched = sum(y for _, y in bare) / len(bare) if bare else 0.0
-    votes: list[tuple[float, float, float]] = []
-    for i, v in enumerate(index.vectors):
-        for y, n in ((True, toxic[i]), (False, clean[i])):
-            if n and (share := index.vote(v, i, y)[0]) is not None:
-                votes.append((share, n * y, n))
-    if votes:
-        index.calibration = monotone(*map(np.array, zip(*votes, strict=True)))
+    return index
+
+
+def calibrate(spark: SparkSession, index: Index) -> Index:
+    """Fit the table from votes to probabilities; tasks vote on the index's own vectors, each left out (2 rows a vector)."""
+    shared = spark.sparkContext.broadcast(index)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for batch in batches:
+            out = []
+            for i in batch["id"].tolist():
+                for y, n in ((True, own.toxic[i]), (False, own.clean[i])):
+                    if n and (share := own.vote(own.vectors[i], i, y)[0]) is not None:
+                        out.append((share, n * y, n))
+            yield pd.DataFrame(out, columns=["share", "toxic", "n"], dtype=float)
+
+    places = spark.range(0, len(index.vectors), 1, spark.sparkContext.defaultParallelism)
+    found = places.mapInPandas(votes, "share double, toxic double, n double").collect()
+    if found:
+        index.calibration = monotone(*map(np.array, zip(*found, strict=True)))
     return index
 
 
@@ -221,7 +236,8 @@ def train(labelled: DataFrame, examples: int = EXAMPLES) -> Index:
 
     found = rows.mapInPandas(counts, "doc_id long, toxic boolean, terms array<string>, n array<int>").collect()
     examples_ = [(r["doc_id"], bool(r["toxic"]), dict(zip(r["terms"], r["n"], strict=True))) for r in found]
-    return build(sorted(examples_, key=lambda x: (x[0], x[1], sorted(x[2].items()))), df, int(a + b))
+    index = build(sorted(examples_, key=lambda x: (x[0], x[1], sorted(x[2].items()))), df, int(a + b))
+    return calibrate(rows.sparkSession, index)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:

@@ -225,7 +225,8 @@ def test_tiles_and_contamination(docs, empty, spark):
     assert all(not r._items for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
-def test_toxicity_neighbours_are_exact(docs, empty, spark):
+def test_toxicity_neighbours_are_exact(docs, empty, spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)  # several blocks of the few examples here
     r = random.Random(5)
     vocabulary = {f"w{i}": 5 + i for i in range(30)}
     examples = [(i, r.random() < 0.3, Counter(r.choices(list(vocabulary), k=r.randint(1, 6)))) for i in range(600)]

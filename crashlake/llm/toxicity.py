@@ -2,9 +2,9 @@
 
 Examples are a bounded, documented sample of labelled rows (`EXAMPLES` rows,
 the first by a hash of the id).  Terms are the lower-cased letter runs whose
-presence goes with the label (likelihood ratio of at least `LEAST_RATIO` over
-`LEAST_ROWS` rows or more); rarer or indifferent words say nothing about
-toxicity and would let chance word matches choose the neighbours.  Examples
+presence goes with the label (likelihood ratio of at least `LEAST_RATIO`, in
+however few rows: four toxic ones are enough if a ninth of all are toxic);
+indifferent words would let chance word matches choose the neighbours.  Examples
 with the same vector are held once, with the counts of their labels.
 
 The index is inverted and cut into blocks of `BLOCK` vectors: each term keeps
@@ -42,8 +42,8 @@ from crashlake.llm.common import with_text_columns
 EXAMPLES = 20_000
 NEIGHBOURS = 15
 BLOCK = 1024
-LEAST_RATIO = 30.0
-LEAST_ROWS = 8
+#: A chi-squared value: one in 27,000 indifferent terms reaches it by chance, whatever the number of rows.
+LEAST_RATIO = 17.0
 TERMS = 20_000
 THRESHOLD = 0.3
 _TERM = re.compile(r"[^\W\d_]+")
@@ -72,11 +72,11 @@ class Index:
         for i, v in enumerate(self.vectors):
             for t, w in v.items():
                 postings.setdefault(t, []).append((i, w))
-        self.lists: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.lists: dict[str, tuple[np.ndarray, np.ndarray, list[int]]] = {}
         self.block_max: dict[str, np.ndarray] = {}
         for t, p in postings.items():
             at, w = np.array([x for x, _ in p]), np.array([x for _, x in p])
-            self.lists[t] = at, w, np.searchsorted(at, np.arange(n_blocks + 1) * self.block)
+            self.lists[t] = at % self.block, w, np.searchsorted(at, np.arange(n_blocks + 1) * self.block).tolist()
             top = np.zeros(n_blocks)
             np.maximum.at(top, at // self.block, w)
             self.block_max[t] = top
@@ -97,7 +97,7 @@ class Index:
         if not known:
             return []
         bound = sum(w * self.block_max[t] for t, w in known)
-        found: list[tuple[float, int]] = []
+        found_score, found_at = np.empty(0), np.empty(0, np.int64)
         least = 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0.0 or bound[b] < least - 1e-12:
@@ -105,19 +105,19 @@ class Index:
             score = np.zeros(self.block)
             for t, w in known:
                 at, weight, cut = self.lists[t]
-                score[at[cut[b] : cut[b + 1]] - b * self.block] += w * weight[cut[b] : cut[b + 1]]
-            found += [(float(score[i]), b * self.block + int(i)) for i in np.flatnonzero((score > 0.0) & (score >= least - 1e-12))]
-            found.sort(key=lambda x: (-x[0], x[1]))
-            n = 0
-            for j, (s, i) in enumerate(found):
-                n += self.clean[i] + self.toxic[i] - (i == without)
-                if n >= k:
-                    least = s
-                    while j + 1 < len(found) and found[j + 1][0] >= s - 1e-12:
-                        j += 1
-                    del found[j + 1 :]
-                    break
-        return found
+                if cut[b] < cut[b + 1]:
+                    score[at[cut[b] : cut[b + 1]]] += w * weight[cut[b] : cut[b + 1]]
+            hit = np.flatnonzero((score > 0.0) & (score >= least - 1e-12))
+            found_score, found_at = np.concatenate([found_score, score[hit]]), np.concatenate([found_at, b * self.block + hit])
+            order = np.lexsort((found_at, -found_score))
+            found_score, found_at = found_score[order], found_at[order]
+            held = np.cumsum(self.clean[found_at] + self.toxic[found_at] - (found_at == without))
+            j = int(np.searchsorted(held, k))
+            if j < len(held):
+                least = float(found_score[j])
+                n = int(np.searchsorted(-found_score, 1e-12 - least, "right"))
+                found_score, found_at = found_score[:n], found_at[:n]
+        return list(zip(found_score.tolist(), found_at.tolist(), strict=True))
 
     def vote(self, query: dict[str, float], without: int = -1, toxic: bool = False) -> tuple[float | None, list[int]]:
         """Share of toxic examples among the nearest, weighted by similarity, and the nearest vectors; None if there is none."""
@@ -215,7 +215,6 @@ def train(labelled: DataFrame, examples: int = EXAMPLES) -> Index:
     counted = rows.select("text", "toxic").mapInPandas(words, "term string, toxic int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")
     )
-    counted = counted.where((F.col("a") + F.col("b") >= LEAST_ROWS))
     total = counted.where(F.col("term") == "").first()
     if total is None:
         return build([], {}, 0)

@@ -249,6 +249,20 @@ def test_toxicity_neighbours_are_exact(docs, empty, spark, monkeypatch):
     assert {r._toxicity for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_learns_rare_terms(spark):
+    from pyspark.sql import functions as F
+
+    # eight toxic rows of 70, each toxic word in four of them
+    texts = [(i, _prose(i, 30) + (" bocoa" if i < 4 else " bocob" if i < 8 else "")) for i in range(70)]
+    known = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(70)], "doc_id long, toxic int")
+    index = toxicity.train(toxicity.labelled_rows(known, labels, F.lit(True)))
+    assert {"bocoa", "bocob"} <= set(index.idf)
+    new = spark.createDataFrame([(100, _prose(100, 30) + " bocoa"), (101, "bocob"), (102, _prose(101, 30))], "doc_id long, text string")
+    got = {r.doc_id: r._toxicity >= toxicity.THRESHOLD for r in toxicity.score(new, index).collect()}
+    assert got == {100: True, 101: True, 102: False}
+
+
 def test_quality_learns_pairs(docs, spark):
     r = np.random.default_rng(3)
     x = r.random((4000, len(quality.FEATURES)))

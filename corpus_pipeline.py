@@ -28,12 +28,21 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; rows with equal ids are one document."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    known = rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return known.unionByName(rest.where(F.col("doc_id").isNull()))
+    """One row of each group of near-duplicates, one with the smallest id; rows without an id are kept.
+
+    Rows are compared by their texts, also those that share an id, so quite different ones stay;
+    of rows without words, one is kept for each id.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    own_id = F.col("doc_id").cast("long")
+    found = minhash.near_duplicates(rows.where(own_id.isNotNull()).select(F.col("_row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
+    found = found.join(rows.select("_row", own_id.alias("_id"), F.xxhash64("text").alias("_text")), "_row")
+    # a group's first row by id; rows of equal id by text, so reruns agree
+    empty = F.when(F.col("_group").isNull(), F.col("_id"))
+    first = found.groupBy("_group", empty.alias("_empty")).agg(F.min(F.struct("_id", "_text", "_row")).alias("_first"))
+    kept = first.select(F.col("_first._row").alias("_row"))
+    return rows.where(own_id.isNull()).unionByName(rows.join(kept, "_row", "left_semi")).select(docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,13 +178,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def full(texts: list) -> list:
         own = [shingles(t) for t in texts]
-        return [[x.view(np.int64) for x in own], [bitmap(x) for x in own]]
+        return [[x.view(np.int64) for x in own], [bitmap(x) for x in own], [xxhash.xxh3_128_digest(x.tobytes()) for x in own]]
 
-    # a repeated id keeps one of its texts here for each set that it represents
+    # a repeated id keeps one of its texts here for each of its sets
     wanted = stored(keys.select("id", "n").distinct(), "candidates")  # of a known size: Spark broadcasts it if small
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
-    new = [("own", ArrayType(LongType()), pa.list_(pa.int64())), ("bits", BinaryType(), pa.binary())]
-    sets = with_text_columns(texts, new, full, ["id", "n"]).where(F.size("own") == F.col("n")).dropDuplicates(["id", "n"]).select("id", "n", "own", "bits")
+    new = [("own", ArrayType(LongType()), pa.list_(pa.int64())), ("bits", BinaryType(), pa.binary()), ("set_key", BinaryType(), pa.binary())]
+    sets = with_text_columns(texts, new, full, ["id", "n"]).where(F.size("own") == F.col("n")).dropDuplicates(["id", "set_key"]).select("id", "n", "own", "bits")
     sets = stored(sets, "sets")
 
     # the first round: each document with the smallest id that it meets

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from crashlake.llm import chat, decontaminate, langid, minhash, mixing, quality, rules, substrings, suffix, token_records, toxicity
 from crashlake.llm.queries import END_ID, tokenizer_path
 
@@ -63,6 +64,23 @@ def test_minhash_matches_all_pairs(docs, rows, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_repeated_id_keeps_all_sets(spark):
+    a, b = _prose(70, 80), _prose(71, 80)
+    assert len(minhash.shingles(a)) == len(minhash.shingles(b))
+    own = [(20, a), (20, b), (21, a + " more"), (22, b + " more")]
+    got = minhash.near_duplicates(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {20}
+
+
+def test_near_duplicates_stage_keeps_different_texts_of_one_id(spark):
+    a, b = _prose(72, 80), _prose(73, 80)
+    own = [(1, a, "x"), (1, b, "x"), (1, b.upper(), "x"), (2, a + " more", "x"), (3, b, "x"), (4, None, "x"), (4, "", "x"), (5, "", "x"), (None, a, "x"), (None, a, "x")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(own, "doc_id long, text string, source string"), "")
+    assert got.columns == ["doc_id", "text", "source"]
+    kept = Counter((r.doc_id, (r.text or "").lower()) for r in got.collect())
+    assert kept == {(1, a): 1, (1, b): 1, (4, ""): 1, (5, ""): 1, (None, a): 2}
+
+
 def test_bitmaps_never_rule_out_what_is_shared():
     rng = np.random.default_rng(5)
     for size in (1, 2, 16, 17, 300, 1024, 1025):

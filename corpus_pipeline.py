@@ -53,9 +53,9 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents of no words are kept once."""
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies").distinct()
-    size = mixing.word_count()
-    joined = docs.withColumn("_size0", size).join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_size0") == F.col("_size")))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    copies = mixing.mix(rows, key="_row").select("_row", F.col("size").alias("_size"), "copies")
+    joined = rows.join(copies, "_row")
     times = F.when(F.col("_size") > 0, F.col("copies")).otherwise(F.lit(1)).cast("int")
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
 

@@ -37,7 +37,7 @@ from crashlake.llm.common import SPACE_CLASS, stored
 
 GROUP = 8192
 FAN_IN = 64
-_ROWS = "_src long, _group long, _level int, _residual boolean, doc_id long, size long, _whole long, _part double, _copies long"
+_ROWS = "_src long, _group long, _level int, _residual boolean, doc_id long, size long, _key long, _text long, _whole long, _part double, _copies long"
 
 
 def word_count(text: str = "text") -> Column:
@@ -114,7 +114,7 @@ def _round(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     """Each group's rows with their copies; its residual has none yet, unless it is the last of its source."""
 
     def reduce(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "size", "_group"], na_position="first", kind="stable").reset_index(drop=True)
+        group = group.sort_values(["doc_id", "size", "_group", "_text", "_key"], na_position="first", kind="stable").reset_index(drop=True)
         src, place = int(group["_src"].iat[0]), int(group["_place"].iat[0])
         random = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed} {level} {src} {place}"))
         part, left = pivot(group["size"].to_numpy(float), group["_part"].to_numpy(float), random)
@@ -129,9 +129,15 @@ def _round(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     return rows.groupBy("_src", "_place").applyInPandas(reduce, _ROWS)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, max_repeats: float = 2.0, seed: int = 20240601) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (an integer) of each document."""
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size")), "mix-sizes")
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, max_repeats: float = 2.0, seed: int = 20240601, key: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies (an integer) of each document.
+
+    key: a column of integers that tells rows apart; it is returned, too.
+    """
+    row = F.lit(None).cast("long") if key is None else F.col(key).cast("long")
+    # rows of equal id and size are ordered by a hash of the text, so reruns give them the same copies
+    text = F.lit(None).cast("long") if key is None else F.xxhash64("text")
+    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), row.alias("_key"), text.alias("_text")), "mix-sizes")
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_repeats)
     joined = sized.withColumnRenamed("source", "_s").join(per_source, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(0.0)
@@ -140,7 +146,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     part = F.when(F.col("size") > 0, copies - F.floor(copies)).otherwise(0.0)
     place = F.pmod(F.xxhash64("doc_id", "size"), F.lit(n_groups))
     rows = joined.select(
-        "_src", place.alias("_group"), F.lit(0).alias("_level"), F.lit(False).alias("_residual"), "doc_id", "size",
+        "_src", place.alias("_group"), F.lit(0).alias("_level"), F.lit(False).alias("_residual"), "doc_id", "size", "_key", "_text",
         whole.alias("_whole"), part.alias("_part"), whole.alias("_copies"), place.alias("_place"),
     )
     first = stored(_round(rows, seed, 0, n_groups == 1), "mix-level")
@@ -155,5 +161,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
         left = done.where("_residual")
     sources = per_source.withColumnRenamed("_src", "_n")
     return final.join(sources, F.col("_src") == F.col("_n")).select(
-        "doc_id", "source", "size", "source_size", "target", F.col("_copies").alias("copies")
+        "doc_id", "source", "size", "source_size", "target", F.col("_copies").alias("copies"), *([] if key is None else [F.col("_key").alias(key)])
     )

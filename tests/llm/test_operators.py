@@ -81,6 +81,17 @@ def test_near_duplicates_stage_keeps_different_texts_of_one_id(spark):
     assert kept == {(1, a): 1, (1, b): 1, (4, ""): 1, (5, ""): 1, (None, a): 2}
 
 
+def test_mixing_stage_gives_each_row_its_copies(spark):
+    # rows alike in id and size: each its own copies, 2 at most; source t is taken 7/6 times
+    own = [(None, f"w{i:03} b c", "s", i) for i in range(60)] + [(7, f"v{i:03} b c", "t", i) for i in range(90)] + [(None, "", "s", 0)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, source string, n int")
+    got = Counter(r.text for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert max(got.values()) <= 2 and got.pop("") == 1
+    want = {r.source: r.target for r in mixing.mix(docs).collect()}
+    for s, c in (("s", "w"), ("t", "v")):
+        assert abs(3 * sum(n for t, n in got.items() if t[0] == c) - want[s]) <= 3
+
+
 def test_bitmaps_never_rule_out_what_is_shared():
     rng = np.random.default_rng(5)
     for size in (1, 2, 16, 17, 300, 1024, 1025):

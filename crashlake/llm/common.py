@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -42,7 +42,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of `stored` frames whose last reader is done."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_order(df: DataFrame, groups: list[str], order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Number the rows of each group without gathering a group in one task.
+
+    Returns the stored rows, range-partitioned by groups and order, with `_pid`
+    and `_at` (the place in the partition), and one row per partition and group:
+    `_pid`, the groups, `_shift` (a row's position in its group, from 0, is
+    `_at` + `_shift`) and `_total`, the rows of the group.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in (*groups, *order)]
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the bits above are the partition's
+    rows = stored(ranged.select("*", F.spark_partition_id().alias("_pid"), at.alias("_at")), name)
+    parts = rows.groupBy("_pid", *groups).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    own = Window.partitionBy(*groups)  # a group has one row per partition at most
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows, parts.select("_pid", *groups, (before - F.col("_first")).alias("_shift"), F.sum("_n").over(own).alias("_total"))
+
+
+def placed(rows: DataFrame, parts: DataFrame, groups: list[str], pos: str = "pos") -> DataFrame:
+    """Rows of `in_order` with their position and the other columns of `parts`."""
+    own = parts.select(*(F.col(c).alias(f"_of_{c}") for c in ("_pid", *groups)), *(c for c in parts.columns if c not in ("_pid", *groups)))
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ("_pid", *groups)]
+    out = rows.join(own, on).withColumn(pos, F.col("_at") + F.col("_shift"))
+    return out.drop("_pid", "_at", "_shift", *(f"_of_{c}" for c in ("_pid", *groups)))
 
 
 class _Hashes(dict):

@@ -99,11 +99,28 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(table(spark, sf_dir, "conversations"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlake.llm.manifest import FIELDS, fold, manifest, row_digest, siblings, text_of
+
+    docs = table(spark, sf_dir, "documents")
+    raised = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    altered = row_digest([raised if c == "n_chars" else F.col(c) for c in FIELDS])
+    # null where a row isn't altered
+    found = manifest(docs, carry={"altered": F.when(id_remainder("doc_id", 7) == 0, altered)})
+    folded = fold(F.coalesce("altered", "leaf"), F.col("proof"))
+    return found.withColumn("_folded", folded).select(
+        "doc_id", text_of(F.col("leaf")).alias("leaf"), text_of(F.col("subroot")).alias("subroot"), text_of(F.col("root")).alias("root"),
+        F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), text_of(F.col("_folded")).alias("folded_root"),
+        (F.col("_folded") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality, op2_decontamination, op3_token_records, op4_suffix_dedup, op5_mixing,
         op6_toxicity, op7_quality_rules, op8_minhash, op9_chat, op10_language_id,
+        op13_manifest,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op9_chat": chat.ORACLE}

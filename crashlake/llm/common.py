@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -117,37 +118,47 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def chunks(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts that hold about `most` characters, one text at least."""
+def chunks(sizes: Sequence[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive values that hold `most` bytes together at most, or one value."""
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
+    for i, n in enumerate(sizes):
         if held and held + n > most:
             yield start, i
             start, held = i, 0
         held += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def with_text_columns(df: DataFrame, new: Sequence[tuple[str, DataType, pa.DataType]], of: Callable[[list], list], keep: list[str] | None = None) -> DataFrame:
-    """Append columns computed from lists of whole texts of column `text`; the rest passes as Arrow, unconverted.
+def byte_chunks(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose column `at` holds about `most` bytes, or one row; nothing is converted before."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    for a, b in chunks(sizes.tolist(), most):
+        yield batch.slice(a, b - a)
+
+
+def with_columns(df: DataFrame, column: str, new: Sequence[tuple[str, DataType, pa.DataType]], of: Callable[[list], list], keep: list[str] | None = None) -> DataFrame:
+    """Append columns computed from lists of whole values of `column`; the rest passes as Arrow, unconverted.
 
     keep: the columns of `df` to return, all of them if not given.
     """
-    at = df.columns.index("text")
+    at = df.columns.index(column)
     kept = list(range(len(df.columns))) if keep is None else [df.columns.index(c) for c in keep]
     schema = StructType([*(df.schema.fields[i] for i in kept), *(StructField(n, t) for n, t, _ in new)])
     names, kinds = schema.names, [k for _, _, k in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in chunks(texts):
-                own = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(of(texts[a:b]), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in kept), *own], names=names)
+            for part in byte_chunks(batch, at):
+                own = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(of(part.column(at).to_pylist()), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *own], names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def with_text_columns(df: DataFrame, new: Sequence[tuple[str, DataType, pa.DataType]], of: Callable[[list], list], keep: list[str] | None = None) -> DataFrame:
+    """`with_columns` of column `text`."""
+    return with_columns(df, "text", new, of, keep)

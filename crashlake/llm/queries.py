@@ -99,6 +99,28 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(table(spark, sf_dir, "conversations"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from crashlake.llm.bpe import encode
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = encode(docs, path, public_tokenizers.PATTERN, ["doc_id"], decoded=True)
+    return found.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlake.llm.trie import prefix_trie, with_shared_heads
+
+    found = prefix_trie(*with_shared_heads(table(spark, sf_dir, "conversations")))
+    numbers = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
+    return found.select(*(F.col(c).cast("long").alias(c) for c in numbers), "ends_sha256")
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crashlake.llm.manifest import FIELDS, fold, manifest, row_digest, siblings, text_of
 
@@ -120,7 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality, op2_decontamination, op3_token_records, op4_suffix_dedup, op5_mixing,
         op6_toxicity, op7_quality_rules, op8_minhash, op9_chat, op10_language_id,
-        op13_manifest,
+        op11_byte_bpe, op12_prefix_trie, op13_manifest,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op9_chat": chat.ORACLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crashlake.llm import chat
+from crashlake.llm import chat, oracle
 from crashlake.llm.common import id_remainder, table
 
 END_ID = 2
@@ -145,4 +145,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_byte_bpe, op12_prefix_trie, op13_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op9_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op9_chat": chat.ORACLE, "op12_prefix_trie": oracle.PREFIX_TRIE, "op13_manifest": oracle.MANIFEST}

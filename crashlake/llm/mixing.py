@@ -9,8 +9,8 @@ given; the fraction is rounded by the pivotal method: two documents with
 fractional parts are paired and a number of words is moved at random from one
 to the other, so that one of them becomes integral, no expectation changes and
 the words taken from the pair stay as they are.  One document remains with a
-fraction; so the words taken from a source differ from the target by less than
-the size of one document.
+fraction and is rounded to the nearest; so the words taken from a source differ
+from the target by half the size of one document at most.
 
 The pairs form a reduction tree: documents are dealt by hash to groups of about
 `GROUP` within their source (so a hot source has many groups), each group
@@ -37,7 +37,7 @@ from crashlake.llm.common import SPACE_CLASS, stored
 
 GROUP = 8192
 FAN_IN = 64
-_ROWS = "_src long, _group long, _level int, _residual boolean, doc_id long, size long, _key long, _text long, _whole long, _part double, _copies long"
+_ROWS = "_src long, _group long, _level int, _residual boolean, _no_id boolean, doc_id long, size long, _key long, _text long, _whole long, _part double, _copies long"
 
 
 def word_count(text: str = "text") -> Column:
@@ -114,12 +114,12 @@ def _round(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     """Each group's rows with their copies; its residual has none yet, unless it is the last of its source."""
 
     def reduce(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "size", "_group", "_text", "_key"], na_position="first", kind="stable").reset_index(drop=True)
+        group = group.sort_values(["_no_id", "doc_id", "size", "_group", "_text", "_key"], ascending=[False, *[True] * 5], kind="stable").reset_index(drop=True)
         src, place = int(group["_src"].iat[0]), int(group["_place"].iat[0])
         random = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed} {level} {src} {place}"))
         part, left = pivot(group["size"].to_numpy(float), group["_part"].to_numpy(float), random)
         if last and left >= 0:
-            part[left] = float(random.random() < part[left])
+            part[left] = float(part[left] >= 0.5)  # nearest to the target
             left = -1
         group["_part"], group["_level"] = part, level
         group["_residual"] = np.arange(len(group)) == left
@@ -134,9 +134,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
 
     key: a column of integers that tells rows apart; it is returned, too.
     """
-    row = F.lit(None).cast("long") if key is None else F.col(key).cast("long")
-    # rows of equal id and size are ordered by a hash of the text, so reruns give them the same copies
-    text = F.lit(None).cast("long") if key is None else F.xxhash64("text")
+    row = F.lit(0).cast("long") if key is None else F.col(key).cast("long")
+    # rows of equal id and size are dealt and ordered by a hash of the text, so reruns give them the same copies
+    text = F.xxhash64("text")
     sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), row.alias("_key"), text.alias("_text")), "mix-sizes")
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_repeats)
     joined = sized.withColumnRenamed("source", "_s").join(per_source, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
@@ -144,9 +144,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     n_groups = max(1, -(-sized.count() // GROUP))
     whole = F.when(F.col("size") > 0, F.floor(copies)).otherwise(0).cast("long")
     part = F.when(F.col("size") > 0, copies - F.floor(copies)).otherwise(0.0)
-    place = F.pmod(F.xxhash64("doc_id", "size"), F.lit(n_groups))
+    place = F.pmod(F.xxhash64("doc_id", "size", "_text"), F.lit(n_groups))
     rows = joined.select(
-        "_src", place.alias("_group"), F.lit(0).alias("_level"), F.lit(False).alias("_residual"), "doc_id", "size", "_key", "_text",
+        "_src", place.alias("_group"), F.lit(0).alias("_level"), F.lit(False).alias("_residual"),
+        F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "size", "_key", "_text",
         whole.alias("_whole"), part.alias("_part"), whole.alias("_copies"), place.alias("_place"),
     )
     first = stored(_round(rows, seed, 0, n_groups == 1), "mix-level")
@@ -160,6 +161,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
         final = final.unionByName(done.where(~F.col("_residual")))
         left = done.where("_residual")
     sources = per_source.withColumnRenamed("_src", "_n")
+    doc_id = F.when(~F.col("_no_id"), F.col("doc_id")).alias("doc_id")  # pandas would make doubles of longs with nulls
     return final.join(sources, F.col("_src") == F.col("_n")).select(
-        "doc_id", "source", "size", "source_size", "target", F.col("_copies").alias("copies"), *([] if key is None else [F.col("_key").alias(key)])
+        doc_id, "source", "size", "source_size", "target", F.col("_copies").alias("copies"), *([] if key is None else [F.col("_key").alias(key)])
     )

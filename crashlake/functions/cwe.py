@@ -160,7 +160,12 @@ _ALLOC = R.ALLOC_FUNCS
 _STRING = R.STRING_FUNCS
 
 
-def heuristic_items(addr: Column, pc: Column, raw: Column, insn_raw: Column, sig_class: Column,
+def glibc_messages(raw: Column) -> tuple[Column, Column]:
+    """Whether the log reports a double free, and heap corruption."""
+    return raw.rlike(jre(R.GLIBC_DOUBLE_FREE, i=True)), raw.rlike(jre(R.GLIBC_HEAP_CORRUPT, i=True))
+
+
+def heuristic_items(addr: Column, pc: Column, double_free: Column, corrupt: Column, insn_raw: Column, sig_class: Column,
                     funcs: Column) -> list[Column]:
     """D6 (+D7) evidence items in rule order; `funcs` = `in NAME(` names of all frames."""
     insn = F.lower(F.coalesce(insn_raw, F.lit("")))
@@ -181,8 +186,8 @@ def heuristic_items(addr: Column, pc: Column, raw: Column, insn_raw: Column, sig
         F.when(has_alloc, ev("CWE-787", 0.4)),
         F.when(has_string, ev("CWE-787", 0.6)),
         F.when(has_string, ev("CWE-125", 0.5)),
-        F.when(raw.rlike(jre(R.GLIBC_DOUBLE_FREE, i=True)), ev("CWE-415", 0.85)),
-        F.when(raw.rlike(jre(R.GLIBC_HEAP_CORRUPT, i=True)), ev("CWE-787", 0.7)),
+        F.when(double_free, ev("CWE-415", 0.85)),
+        F.when(corrupt, ev("CWE-787", 0.7)),
         F.when(pc.isNotNull() & (pc < low), ev("CWE-787", 0.6)),
         F.when(pc.isNotNull() & (pc < low), ev("CWE-416", 0.5)),
         F.when(insn.rlike(jre(R.CALL_INSN, i=True)) & segv, ev("CWE-416", 0.5)),
@@ -196,7 +201,7 @@ def frame_functions(bt: Column) -> Column:
 
 def debugger_heuristics(dbg: Column, sig_class: Column) -> Column:
     """D6 (+D7): ordered evidence from the debugger state when the sanitizer said nothing."""
-    items = heuristic_items(dbg["faulting_address"], dbg["pc"], dbg["raw"], dbg["faulting_instruction"],
+    items = heuristic_items(dbg["faulting_address"], dbg["pc"], *glibc_messages(dbg["raw"]), dbg["faulting_instruction"],
                             sig_class, frame_functions(dbg["backtrace"]))
     hints = max_merge(compact(items))
     return F.when(stack_exhaustion(dbg), F.array().cast(DIST_TYPE)).otherwise(hints)

@@ -20,6 +20,16 @@ def log_frames(raw: Column) -> Column:
     return F.slice(frames, 1, R.MAX_FRAMES)
 
 
+def has_result(raw: Column) -> Column:
+    """Whether `parse_log` gives a result; the text is only cut into lines if it says that there is no stack."""
+    nothing = raw.contains(R.NO_STACK_MARKER) & ~raw.contains(R.REPORT_MARKERS[0]) & ~raw.contains(R.REPORT_MARKERS[1])
+    return raw.isNotNull() & ~F.coalesce(nothing & (F.size(log_frames(raw)) == 0), F.lit(False))
+
+
+def signal_name(raw: Column) -> Column:
+    return extract(raw, jre(R.SIGNAL_NAME))
+
+
 def parse_log(raw: Column) -> Column:
     """STRUCT dbg, or NULL when the log shows no stack and no sanitizer report."""
     frames = log_frames(raw)
@@ -27,7 +37,7 @@ def parse_log(raw: Column) -> Column:
                  & ~raw.contains(R.REPORT_MARKERS[0]) & ~raw.contains(R.REPORT_MARKERS[1]))
     insn = F.regexp_extract(raw, jre(R.FAULTING_INSN), 1)
     dbg = F.struct(
-        extract(raw, jre(R.SIGNAL_NAME)).alias("signal_name"),
+        signal_name(raw).alias("signal_name"),
         frames.alias("backtrace"),
         F.when(insn != "", py_strip(insn)).alias("faulting_instruction"),
         hex_to_decimal(extract(raw, jre(R.SI_ADDR, i=True))).alias("faulting_address"),

@@ -19,7 +19,7 @@ from crashlake.functions.cache import per_context
 from crashlake.functions.patterns import jre
 from crashlake.operators import lookup as E
 from crashlake.operators.sequence import left_join_nonnull
-from crashlake.session import cut_lineage
+from crashlake.session import hold
 
 
 @per_context
@@ -45,7 +45,6 @@ def classify_static(issues: DataFrame) -> DataFrame:
 def _base_cols() -> list[Column]:
     dbg = F.col("dbg")
     return [
-        D.signal_class(F.col("signal")).alias("signal_class"),
         dbg["raw"].alias("_raw"),
         F.lower(dbg["raw"]).alias("_lraw"),
         F.coalesce(dbg["backtrace"], F.array().cast("array<string>")).alias("backtrace"),
@@ -61,6 +60,7 @@ def _fact_cols() -> list[Column]:
     raw, has = F.col("_raw"), F.col("has_log")
     so_pat = jre(R.STACK_OVERFLOW + f"(?!.*{R.STACK_OVERFLOW_EXCLUDE})", i=True)
     dbg_cols = F.struct(F.col("backtrace").alias("backtrace"), F.col("faulting_instruction").alias("faulting_instruction"))
+    double_free, corrupt = D.glibc_messages(raw)
     return [
         F.when(has & (raw != ""), D.compact([D.overflow_header(raw, F.col("_lraw")),
                                              *D.sanitizer_rule_hits(raw, F.col("_lraw"))]))
@@ -79,13 +79,14 @@ def _fact_cols() -> list[Column]:
             raw.rlike(jre(R.SAN_WRITE, i=True, m=True)).alias("san_write"),
             raw.rlike(jre(R.SAN_READ, i=True, m=True)).alias("san_read"),
         ).alias("tier0"),
+        double_free.alias("_double_free"), corrupt.alias("_corrupt"),
     ]
 
 
 @per_context
 def _heur_col() -> Column:
     has = F.col("has_log")
-    heur = D.compact(D.heuristic_items(F.col("faulting_address"), F.col("pc"), F.col("_raw"),
+    heur = D.compact(D.heuristic_items(F.col("faulting_address"), F.col("pc"), F.col("_double_free"), F.col("_corrupt"),
                                        F.col("faulting_instruction"), F.col("signal_class"), F.col("_funcs")))
     return F.when(has & (F.size("_san_items") == 0) & ~F.col("_exh"), heur).otherwise(_empty()).alias("_heur_items")
 
@@ -100,19 +101,33 @@ def _evidence_col() -> Column:
     return F.when(F.col("_so") | F.col("_exh"), _empty()).otherwise(D.max_merge(F.col("_all"))).alias("evidence_dist")
 
 
-def facts(df: DataFrame) -> DataFrame:
-    """Everything that needs the log text, computed once; the text is dropped after.
+def log_facts(df: DataFrame) -> DataFrame:
+    """Everything that needs the log text (`dbg`), computed once per log; the text is dropped after."""
+    base = [c for c in df.columns if c != "dbg"]
+    df = df.select(*base, *_base_cols())
+    return df.select("*", *_fact_cols()).drop("_raw", "_lraw")
+
 
-    Staged projections keep every regex at one evaluation per row: evidence
+def crash_facts(df: DataFrame) -> DataFrame:
+    """Evidence of crashes joined to their log's facts; a crash without a log has NULL facts.
+
+    Staged projections keep every expression at one evaluation per row: evidence
     item arrays are materialized before the per-CWE merge walks them.
     """
-    base = [c for c in df.columns if c != "dbg"]
-    df = df.select(*base, *_base_cols())
-    df = df.select("*", *_fact_cols())
+    none = {"backtrace": F.array().cast("array<string>"), "has_log": F.lit(False), "_san_items": _empty(),
+            "_funcs": F.array().cast("array<string>"), "_exh": F.lit(False), "_so": F.lit(False),
+            "oob_report": F.lit(False), "evidence": F.lit("")}
+    df = df.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
+    df = df.select("*", D.signal_class(F.col("signal")).alias("signal_class"))
     df = df.select("*", _heur_col())
     df = df.select("*", _all_col())
     df = df.select("*", _evidence_col())
-    return df.drop("_raw", "_lraw", "_san_items", "_heur_items", "_all", "_funcs", "_exh", "_so")
+    return df.drop("_san_items", "_heur_items", "_all", "_funcs", "_exh", "_so", "_double_free", "_corrupt")
+
+
+def facts(df: DataFrame) -> DataFrame:
+    """`log_facts` and `crash_facts` of crashes that carry their log (`signal`, `dbg`)."""
+    return crash_facts(log_facts(df))
 
 
 @per_context
@@ -139,13 +154,11 @@ def _location_cols() -> list[Column]:
     ]
 
 
-def locate(df: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """B7 (+E2): crash function/location by priority symbol -> user frame -> sanitizer frame."""
-    if symbols is not None:
-        df = E.symbolize(df, "pc", symbols, prefix="pcsym_")
-    df = df.select("*", *_locate_cols(symbols is not None))
+def locate(df: DataFrame, with_symbols: bool = False) -> DataFrame:
+    """Crash function/location by priority symbol (of `lookup.resolve_addresses`) -> user frame -> sanitizer frame."""
+    df = df.select("*", *_locate_cols(with_symbols))
     df = df.select("*", *_location_cols())
-    drop = ["_func", "_loc", "san_loc"] + (["pcsym_func", "pcsym_loc"] if symbols is not None else [])
+    drop = ["_func", "_loc", "san_loc"] + (["pcsym_func", "pcsym_loc"] if with_symbols else [])
     return df.drop(*drop)
 
 
@@ -181,23 +194,25 @@ def _verdict_cols() -> list[Column]:
     return [tax.alias("taxonomy")]
 
 
+@per_context
+def _tier0_col() -> Column:
+    t0, top = F.col("tier0"), F.col("top_cwe")
+    return (F.when(~F.col("has_log"), F.lit(None).cast("string"))
+             .when(t0["alloc_too_big"] | t0["stack_buf_read"]
+                   | (t0["ubsan_text"] & ~top.isin(*R.WRITE_PRIMITIVE_CWES)), "NOT_EXPLOITABLE")
+             .when(t0["san_write"], "EXPLOITABLE")
+             .when(t0["san_read"], "NOT_EXPLOITABLE")).alias("tier0_verdict")
+
+
 @per_context
 def _exploit_col() -> Column:
-    has = F.col("has_log")
-    dbg_like = F.when(has, F.struct(
+    dbg_like = F.when(F.col("has_log"), F.struct(
         F.col("backtrace").alias("backtrace"), F.col("faulting_instruction").alias("faulting_instruction"),
         F.col("faulting_address").alias("faulting_address"), F.col("pc").alias("pc")))
-    t0 = F.col("tier0")
-    top = F.col("top_cwe")
-    tier0 = (F.when(~has, F.lit(None).cast("string"))
-              .when(t0["alloc_too_big"] | t0["stack_buf_read"]
-                    | (t0["ubsan_text"] & ~top.isin(*R.WRITE_PRIMITIVE_CWES)), "NOT_EXPLOITABLE")
-              .when(t0["san_write"], "EXPLOITABLE")
-              .when(t0["san_read"], "NOT_EXPLOITABLE"))
-    sc = V.score(top, F.col("taxonomy"), dbg_like)
+    sc = V.score(F.col("top_cwe"), F.col("taxonomy"), dbg_like)
     by_score = (F.when(sc >= R.EXPLOITABLE_MIN_SCORE, "EXPLOITABLE")
                  .when(sc >= R.NOT_EXPLOITABLE_MIN_SCORE, "NOT_EXPLOITABLE").otherwise("UNKNOWN"))
-    return F.coalesce(tier0, by_score).alias("exploitability")
+    return F.coalesce(F.col("tier0_verdict"), by_score).alias("exploitability")
 
 
 @per_context
@@ -217,6 +232,7 @@ def finish(df: DataFrame, crash_text: DataFrame | None = None) -> DataFrame:
     df = df.select("*", *_dist_cols())
     df = df.select("*", *_norm_cols()).drop("_adj")
     df = df.select("*", _top_col(), *_verdict_cols())
+    df = df.select("*", _tier0_col())
     df = df.select("*", _exploit_col())
     return df.drop("tier0", "evidence_dist")
 
@@ -230,22 +246,19 @@ def classify_full(issues: DataFrame, logs: DataFrame | None, symbols: DataFrame
     (frames and pc are symbolized when given); `source_lines` (file, line, text)
     stands in for the source tree searched under `roots`.
 
-    The slim facts table and the located table each feed several branches
-    (frame lookups, the NULL-key split, snippet lookup, the final join); they
-    are checkpointed to the shared checkpoint folder so the regex work runs
-    once and a lost executor does not replay the log join.
+    `logs` may also hold the facts (`log_facts`), so that no log text meets in
+    the join.  The slim facts table and the located table each feed several
+    branches of the plan (frame lookups, snippet lookup, the final join), so
+    they are held (`session.hold`) when a query first computes them.
     """
     df = E.join_crash_log(issues, logs, key) if logs is not None else issues
-    df = facts(df)
+    df = crash_facts(df) if "dbg" not in df.columns else facts(df)
     df = df.withColumn("log_backtrace", F.col("backtrace"))
-    if materialize:
-        df = cut_lineage(df)
     if symbols is not None:
-        df = E.enrich_frames(df, key, symbols)
-    df = locate(df, symbols)
+        df = E.resolve_addresses(hold(df) if materialize else df, key, symbols)
+    df = locate(df, symbols is not None)
     crash_text = None
     if source_lines is not None:
-        if materialize:
-            df = cut_lineage(df)
+        df = hold(df) if materialize else df
         crash_text, _ = E.source_snippets(df, source_lines, roots or [])
     return finish(df, crash_text)

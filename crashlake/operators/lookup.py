@@ -1,21 +1,28 @@
 """Lookups the triage does per crash, re-aimed as set joins.
 
-Range joins (address -> symbol) use a bin key so Spark plans an equi-join
-(sort-merge or, when AQE measures one side small, broadcast hash) plus a
-residual range filter instead of a broadcast nested-loop join.  Line windows
-(source snippets) are exploded into their 7 line numbers and joined exactly on
-(file, line), so a hot file never fans out.
+Addresses are looked up in disjoint segments: overlapping symbol ranges are cut
+at their bounds and each piece is given to the narrowest range over it, so an
+address has one segment.  Segments and addresses meet in pieces of the address
+space (between sampled segment starts) by an equi-join, so Spark splits a hot
+piece like any skewed join.  Line windows (source snippets) are exploded into
+their 7 line numbers and joined exactly on (file, line), so a hot file never
+fans out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from crashlake import rules as R
 from crashlake.functions.patterns import hex_to_decimal, jre
+from crashlake.operators.sequence import in_pieces, split_points
 
-SYMBOL_BIN = 4096
+#: Pieces of the address space; one has a few segments of a usual symbol table.
+SYMBOL_PIECES = 1 << 14
+_BIAS = "9223372036854775808"
+_TOP = "18446744073709551615"
 
 
 def join_crash_log(issues: DataFrame, logs: DataFrame, key: str = "ord") -> DataFrame:
@@ -28,13 +35,47 @@ def unmatched_logs(issues: DataFrame, usable_logs: DataFrame, key: str = "ord")
     return issues.join(usable_logs.select(key), on=key, how="left_anti")
 
 
-def symbol_bins(symbols: DataFrame, bin_size: int = SYMBOL_BIN) -> DataFrame:
-    """Symbol ranges [lo, hi] exploded to the address bins they cover."""
-    at = lambda c: F.floor(F.col(c).cast("decimal(20,0)") / bin_size).cast("long")
-    return symbols.select(
-        F.explode(F.sequence(at("lo"), at("hi"))).alias("_bin"),
-        F.col("lo").cast("decimal(20,0)").alias("_lo"), F.col("hi").cast("decimal(20,0)").alias("_hi"),
-        "func", "loc")
+def _signed(address: Column) -> Column:
+    """Unsigned 64-bit address as BIGINT, order kept; NULL beyond 64 bits."""
+    a = address.cast("decimal(20,0)")
+    bias, top = (F.lit(x).cast("decimal(20,0)") for x in (_BIAS, _TOP))
+    return F.when((a >= 0) & (a <= top), (a - bias).cast("bigint"))
+
+
+def _shifted(c: Column, k: Column) -> Column:
+    return F.call_function("shiftright", c, k)
+
+
+def symbol_segments(symbols: DataFrame) -> tuple[DataFrame, Column]:
+    """Disjoint address segments of `symbols(lo, hi, func, loc)`, and the split points that cut them into pieces.
+
+    Segments: `_at` (piece), `_from`, `_until` (exclusive; NULL for the last of
+    a piece), func and loc of the narrowest range over it (NULLs where none is).
+
+    The bounds of all ranges cut the address space; which ranges hold a cut is
+    asked per width class: a range of 2^k to 2^(k+1) addresses is entered in the
+    few bins of 2^k addresses that it touches, however wide it is, and a cut is
+    looked up in one bin of every class there is.  So a corrupt bound costs a
+    few rows.  Ranges of equal bounds count as one, the first by name.
+    """
+    own = (symbols.select(_signed(F.col("lo")).alias("lo"), _signed(F.col("hi")).alias("hi"), "func", "loc")
+           .where(F.col("lo") <= F.col("hi"))
+           .groupBy("lo", "hi").agg(F.min(F.struct("func", "loc")).alias("_s")))
+    width = F.col("hi").cast("decimal(20,0)") - F.col("lo").cast("decimal(20,0)")
+    kind = F.least(F.floor(F.log2(width.cast("double") + 1)), F.lit(62)).cast("int")
+    own = own.withColumns({"_width": width, "_k": kind})
+    bins = own.withColumn("_bin", F.explode(F.sequence(_shifted(F.col("lo"), F.col("_k")), _shifted(F.col("hi"), F.col("_k")))))
+    after = F.when(F.col("hi") < (1 << 63) - 1, F.col("hi") + 1)
+    cuts = own.select(F.explode(F.array("lo", after)).alias("_from")).where(F.col("_from").isNotNull()).distinct()
+    kinds = own.agg(F.collect_set("_k").alias("_ks")).scalar()
+    asked = cuts.withColumn("_ks", kinds).select("_from", F.explode("_ks").alias("_kind"))
+    held = asked.join(bins, (F.col("_kind") == F.col("_k")) & (_shifted(F.col("_from"), F.col("_kind")) == F.col("_bin"))
+                      & (F.col("lo") <= F.col("_from")) & (F.col("_from") <= F.col("hi")))
+    owner = held.groupBy("_from").agg(F.min(F.struct("_width", "lo", "_s")).alias("_o")).select("_from", F.col("_o._s").alias("_s"))
+    splits = split_points(cuts, "_from", SYMBOL_PIECES)
+    placed = in_pieces(cuts.join(owner, "_from", "left"), "_from", splits, SYMBOL_PIECES, "_at")
+    until = F.lead("_from").over(Window.partitionBy("_at").orderBy("_from"))
+    return placed.select("_at", "_from", until.alias("_until"), "_s.func", "_s.loc"), splits
 
 
 def _clean_symbol(func: Column, loc: Column) -> tuple[Column, Column]:
@@ -45,65 +86,69 @@ def _clean_symbol(func: Column, loc: Column) -> tuple[Column, Column]:
             F.when(libc, F.lit(None).cast("string")).otherwise(lc))
 
 
-def symbolize(df: DataFrame, addr_col: str, symbols: DataFrame, prefix: str = "sym_",
-              bin_size: int = SYMBOL_BIN) -> DataFrame:
+def symbolize(df: DataFrame, addr_col: str, symbols: DataFrame, prefix: str = "sym_") -> DataFrame:
     """Address -> (function, file:line) from a `symbols(lo, hi, func, loc)` table.
 
-    Ranges may overlap (aliases, inlined functions): each distinct address gets
-    the narrowest range that holds it, so rows never multiply.
-    Unresolved addresses, '??' / 'optimized out' functions and '??:0' locations
-    give NULLs; a location in libc clears both.  Rows without an address skip
-    the join (no NULL-key hot partition).
+    Ranges may overlap (aliases, inlined functions): an address gets the
+    narrowest range that holds it, so rows never multiply.  `df` is read once
+    and not aggregated.  Unresolved addresses, '??' / 'optimized out' functions
+    and '??:0' locations give NULLs; a location in libc clears both.  Rows
+    without an address are dealt by their hash (no NULL-key hot partition).
     """
+    segments, splits = symbol_segments(symbols)
     p = f"_{prefix}"
-    addr = F.col(addr_col).cast("decimal(20,0)")
-    with_addr = df.where(addr.isNotNull()).withColumn(f"{p}addr", addr)
-    with_addr = with_addr.withColumn(f"{p}bin", F.floor(F.col(f"{p}addr") / bin_size).cast("long"))
-    bins = symbol_bins(symbols, bin_size).select(
-        F.col("_bin").alias(f"{p}sbin"), F.col("_lo").alias(f"{p}lo"), F.col("_hi").alias(f"{p}hi"),
-        F.col("func").alias(f"{p}func"), F.col("loc").alias(f"{p}loc"))
-    cond = ((F.col(f"{p}bin") == F.col(f"{p}sbin")) & (F.col(f"{p}addr") >= F.col(f"{p}lo"))
-            & (F.col(f"{p}addr") <= F.col(f"{p}hi")))
-    addrs = with_addr.select(f"{p}addr", f"{p}bin").distinct()
-    found = addrs.join(bins, on=cond).groupBy(F.col(f"{p}addr").alias(f"{p}at")).agg(
-        F.min(F.struct((F.col(f"{p}hi") - F.col(f"{p}lo")).alias("width"), f"{p}lo", f"{p}func", f"{p}loc")).alias(f"{p}one"))
-    found = found.select(f"{p}at", f"{p}one.{p}func", f"{p}one.{p}loc")
-    j = with_addr.join(found, on=F.col(f"{p}addr") == F.col(f"{p}at"), how="left")
+    placed = in_pieces(df.withColumn(f"{p}addr", _signed(F.col(addr_col))), f"{p}addr", splits, SYMBOL_PIECES, f"{p}piece")
+    nowhere = -1 - F.pmod(F.xxhash64(*[f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]), F.lit(1 << 16)).cast("int")
+    placed = placed.withColumn(f"{p}piece", F.when(F.col(f"{p}addr").isNull(), nowhere).otherwise(F.col(f"{p}piece")))
+    own = segments.select(F.col("_at").alias(f"{p}at"), F.col("_from").alias(f"{p}from"), F.col("_until").alias(f"{p}until"),
+                          F.col("func").alias(f"{p}func"), F.col("loc").alias(f"{p}loc"))
+    inside = (F.col(f"{p}addr") >= F.col(f"{p}from")) & (F.col(f"{p}until").isNull() | (F.col(f"{p}addr") < F.col(f"{p}until")))
     func, loc = _clean_symbol(F.col(f"{p}func"), F.col(f"{p}loc"))
-    hit = j.select(*[F.col(c) for c in df.columns], func.alias(f"{prefix}func"), loc.alias(f"{prefix}loc"))
-    miss = df.where(addr.isNull()).select("*", F.lit(None).cast("string").alias(f"{prefix}func"),
-                                          F.lit(None).cast("string").alias(f"{prefix}loc"))
-    return hit.unionByName(miss)
+    return (placed.join(own, (F.col(f"{p}piece") == F.col(f"{p}at")) & inside, "left")
+            .select(*df.columns, func.alias(f"{prefix}func"), loc.alias(f"{prefix}loc")))
+
 
+def _frame_address(f: Column) -> Column:
+    """Address of a frame that lacks a location."""
+    return F.when(~f.contains(" at "), hex_to_decimal(F.nullif(F.regexp_extract(f, jre(R.FRAME_ADDR), 1), F.lit(""))))
 
-def enrich_frames(df: DataFrame, key: str, symbols: DataFrame, bt_col: str = "backtrace",
-                  out_col: str = "backtrace", bin_size: int = SYMBOL_BIN) -> DataFrame:
-    """Append ' at file:line' to frames that have an address and no ' at '.
 
-    Only frames that need a lookup leave the row: (key, pos, addr) are joined
-    to the symbol bins; the few hits come back as a small (pos -> loc) map per
-    key that a `transform` applies to the original frame array.
+def _with_symbols(df: DataFrame, key: str, symbols: DataFrame, bt_col: str, pc_col: str | None) -> DataFrame:
+    """`df` with `_hits`: array position (0 the pc, then the frames from 1) -> (func, loc) of resolved addresses.
+
+    One lookup for all addresses of a row: only (key, position, address) leave
+    it, and only hits come back, grouped by key (a row has at most 21).
     """
-    frames = (df.select(key, F.posexplode(bt_col).alias("_pos", "_frame"))
-              .where(~F.col("_frame").contains(" at "))
-              .select(key, "_pos", hex_to_decimal(F.nullif(
-                  F.regexp_extract("_frame", jre(R.FRAME_ADDR), 1), F.lit(""))).alias("_addr"))
-              .where(F.col("_addr").isNotNull()))
-    hits = (symbolize(frames, "_addr", symbols, prefix="_s", bin_size=bin_size)
-            .where(F.col("_sloc").isNotNull())
-            .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_sloc"))).alias("_hits")))
-    j = df.join(hits, on=key, how="left")
-    enriched = F.transform(F.col(bt_col), lambda f, i: F.when(
-        F.col("_hits").isNotNull() & F.try_element_at(F.col("_hits"), i).isNotNull(),
-        F.concat(f, F.lit(" at "), F.try_element_at(F.col("_hits"), i))).otherwise(f))
-    return j.withColumn(out_col, enriched).drop("_hits")
+    pc = F.lit(None).cast("decimal(20,0)") if pc_col is None else F.col(pc_col).cast("decimal(20,0)")
+    every = F.concat(F.array(pc), F.transform(bt_col, _frame_address))
+    asked = df.select(key, F.posexplode(every).alias("_pos", "_addr")).where(F.col("_addr").isNotNull())
+    hits = (symbolize(asked, "_addr", symbols, prefix="_s").where(F.col("_sfunc").isNotNull() | F.col("_sloc").isNotNull())
+            .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", F.struct("_sfunc", "_sloc")))).alias("_hits")))
+    return df.join(hits, on=key, how="left")
+
+
+def _located(f: Column, i: Column) -> Column:
+    at = F.try_element_at(F.col("_hits"), i + 1)["_sloc"]
+    return F.when(at.isNotNull(), F.concat(f, F.lit(" at "), at)).otherwise(f)
+
+
+def enrich_frames(df: DataFrame, key: str, symbols: DataFrame, bt_col: str = "backtrace", out_col: str = "backtrace") -> DataFrame:
+    """Append ' at file:line' to frames that have an address and no ' at '."""
+    held = _with_symbols(df, key, symbols, bt_col, None)
+    return held.withColumn(out_col, F.transform(bt_col, _located)).drop("_hits")
+
+
+def resolve_addresses(df: DataFrame, key: str, symbols: DataFrame, prefix: str = "pcsym_") -> DataFrame:
+    """E2 of `pc` and E3 of `backtrace` in one lookup; adds the pc's function and location."""
+    held = _with_symbols(df, key, symbols, "backtrace", "pc")
+    pc = F.try_element_at(F.col("_hits"), F.lit(0))
+    return held.select("*", pc["_sfunc"].alias(f"{prefix}func"), pc["_sloc"].alias(f"{prefix}loc")) \
+               .withColumn("backtrace", F.transform("backtrace", _located)).drop("_hits")
 
 
 def source_files(source_lines: DataFrame) -> DataFrame:
-    """Per source file: line count and byte size (lines plus their newlines)."""
-    return source_lines.groupBy("file").agg(
-        F.max("line").alias("n_lines"),
-        F.sum(F.octet_length("text") + 1).alias("size_bytes"))
+    """Line count of each source file."""
+    return source_lines.groupBy("file").agg(F.max("line").alias("n_lines"))
 
 
 def _basename(p: Column) -> Column:
@@ -133,7 +178,7 @@ def resolve_source(locs: DataFrame, files: DataFrame, roots: list[str]) -> DataF
          .where(F.col("file").isNotNull() & (F.col("file") != "")))
     hit = c.join(files, on="file", how="inner")
     return (hit.groupBy("crash_location")
-            .agg(F.min_by(F.struct("file", "n_lines", "size_bytes"), F.col("rank")).alias("_r"))
+            .agg(F.min_by(F.struct("file", "n_lines"), F.col("rank")).alias("_r"))
             .select("crash_location", "_r.*"))
 
 

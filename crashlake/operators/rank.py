@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crashlake import rules as R
 from crashlake.functions import frames as B
 from crashlake.functions.patterns import jre
 from crashlake.operators import lookup as E
-from crashlake.session import cut_lineage
+from crashlake.operators.sequence import numbered
 
 
 def prioritize(issues: DataFrame) -> DataFrame:
@@ -24,24 +24,8 @@ def priority_order(order_cols: list[str]) -> list[Column]:
 
 def sorted_index(df: DataFrame, sort: list[Column], group_cols: list[str] | None = None,
                  out_col: str = "rank") -> DataFrame:
-    """1-based position of each row in `sort` order (within `group_cols`).
-
-    The range-partitioned sort is checkpointed to the shared checkpoint folder
-    so partition ids are stable; each partition numbers its own rows, and a
-    table of per-partition counts (one row per partition: a proven bound) gives
-    the offsets.  No task ever holds more than one sort partition.
-    """
-    group_cols = group_cols or []
-    s = cut_lineage(df.orderBy(*[F.col(g).asc() for g in group_cols], *sort)
-                    .withColumn("_pid", F.spark_partition_id()))
-    local = Window.partitionBy("_pid", *group_cols).orderBy(*sort)
-    s = s.withColumn("_local", F.row_number().over(local))
-    counts = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
-        if group_cols else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *group_cols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = s.join(offsets, on=["_pid", *group_cols])
-    return out.withColumn(out_col, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")
+    """1-based position of each row in `sort` order (within `group_cols`); see `sequence.numbered`."""
+    return numbered(df, sort, out_col, group_cols).withColumn(out_col, F.col(out_col) + 1)
 
 
 def split_sections(issues: DataFrame) -> DataFrame:
@@ -49,9 +33,9 @@ def split_sections(issues: DataFrame) -> DataFrame:
     return issues.withColumn("section", F.when(F.col("top_cwe") != "unknown", "cwe").otherwise("error"))
 
 
-def section_rank(ranked: DataFrame) -> DataFrame:
-    """numbering inside each section by issue rank; the first 5 / 3 are opened."""
-    df = sorted_index(split_sections(ranked), [F.col("issue_rank").asc()], ["section"], "section_rank")
+def section_rank(issues: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """numbering inside each section by issue rank (or by `order`, which needs no rank); the first 5 / 3 are opened."""
+    df = sorted_index(split_sections(issues), order or [F.col("issue_rank").asc()], ["section"], "section_rank")
     limit = F.when(F.col("section") == "cwe", R.SECTION_OPEN_CWE).otherwise(R.SECTION_OPEN_ERROR)
     return df.withColumn("opened", F.col("section_rank") <= limit)
 

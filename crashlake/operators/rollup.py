@@ -34,7 +34,7 @@ def report_totals(raw: DataFrame, issues: DataFrame) -> DataFrame:
     tot = issues.agg(F.count(F.lit(1)).alias("unique_issues"),
                      F.count_if(F.col("severity_level") == "CRITICAL").alias("critical"),
                      F.count_if(F.col("severity_level") == "HIGH").alias("high"))
-    return attach_scalar(raw.agg(F.count(F.lit(1)).alias("raw_crashes")), tot)
+    return attach_scalar(raw.agg(F.count(F.lit(1)).alias("raw_crashes")), tot)  # a subquery
 
 
 def instance_stats(stats: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def plot_extent(points: DataFrame) -> DataFrame:
 
 
 def plot_index(points: DataFrame) -> DataFrame:
-    """Points in list order (instance, line) with a 0-based index, computed block-wise."""
+    """Points in list order (instance, line) with a 0-based index."""
     return global_index(points, ["fuzzer_instance"], "line_no", "idx")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from crashlake import rules as R
 from crashlake.functions import cwe as D
+from crashlake.functions import evidence as A
 from crashlake.functions import frames as B
 from crashlake.functions import taxonomy as T
 from crashlake.functions import verdict as V
@@ -24,6 +25,7 @@ from crashlake.operators import rank as FR
 from crashlake.functions.patterns import jre
 from crashlake.operators import rollup as G
 from crashlake.plans import triage as P
+from crashlake.session import hold, release
 from crashlake.sources import fixtures as X
 from crashlake.sources import ingest as I
 from crashlake.sources.tables import table
@@ -43,8 +45,8 @@ def _s(c: Column) -> Column:
 # --- A. sources -----------------------------------------------------------
 
 def scan_crash_files(spark, sf):
-    # the data directory itself stands in for one instance's crashes/ folder
-    return I.scan_crash_files(spark, sf, crash_dirs_only=False).select("path", "name", "fuzzer_instance", "signal", "size")
+    files = X.view(spark, sf, "v_files").withColumn("size", F.col("size").cast("bigint"))
+    return I.crash_files(files, ["input_sha1"]).drop("ord")
 
 
 def instance_from_path(spark, sf):
@@ -93,7 +95,7 @@ def parse_replay_log(spark, sf):
 
 
 def reject_loader_errors(spark, sf):
-    return I.choose_replay(X.view(spark, sf, "v_replay")).select("ord", "attempt")
+    return I.first_usable(X.view(spark, sf, "v_replay"), {}).select("ord", "attempt")
 
 
 # --- B. frame / text functions --------------------------------------------
@@ -141,10 +143,9 @@ def first_sanitizer_loc(spark, sf):
 
 def _facts_located(spark, sf):
     lc = P.log_crashes(spark, sf).select("ord", "signal", "dbg")
-    df = K.facts(lc)
-    sym = P.symbols(spark, sf)
-    df = E.enrich_frames(df, "ord", sym)
-    return K.locate(df, sym)
+    release(spark)
+    df = E.resolve_addresses(hold(K.facts(lc)), "ord", P.symbols(spark, sf))
+    return K.locate(df, True)
 
 
 def crash_site_location(spark, sf):
@@ -160,7 +161,8 @@ def oob_direction(spark, sf):
 def log_tail(spark, sf):
     d = table(spark, sf, "documents")
     t = B.log_tail(F.col("text"))
-    return d.select("doc_id", t.alias("tail"), F.length(t).cast("bigint").alias("tail_len"))
+    return d.select("doc_id", t.alias("tail"), F.length(t).cast("bigint").alias("tail_len"),
+                    B.log_tail(F.col("text"), R.STDERR_TAIL_CHARS).alias("stderr_tail"))
 
 
 # --- C. dedup -------------------------------------------------------------
@@ -307,9 +309,7 @@ def _full_static_logs(spark, sf):
 
 
 def exploit_evidence(spark, sf):
-    df = _full_static_logs(spark, sf).where("has_log")
-    lc = P.log_crashes(spark, sf).select("ord", "raw")
-    return df.join(lc, "ord").select("ord", V.evidence_verdict(F.col("raw"), F.col("top_cwe")).alias("tier0"))
+    return _full_static_logs(spark, sf).where("has_log").select("ord", "tier0_verdict").withColumnRenamed("tier0_verdict", "tier0")
 
 
 def exploit_score(spark, sf):
@@ -329,6 +329,7 @@ def classify_static(spark, sf):
 
 
 def classify_full(spark, sf):
+    release(spark)
     lc = P.log_crashes(spark, sf).select("ord", "signal", "dbg")
     df = K.classify_full(lc, None, P.symbols(spark, sf), P.source_lines(spark, sf), P.SOURCE_ROOTS)
     return _dist_out(df, "crash_function", "crash_location", "oob_direction")
@@ -338,10 +339,10 @@ def classify_full(spark, sf):
 
 def join_crash_log(spark, sf):
     a = C.dedup_exact(P.raw_crashes(spark, sf).select("input_sha1", "ord"))
-    logs = I.replay_results(X.view(spark, sf, "v_replay")).select("ord", "attempt", "dbg")
+    found = {"has_log": A.has_result(F.col("_text")), "signal_name": A.signal_name(F.col("_text"))}
+    logs = I.first_usable(X.view(spark, sf, "v_replay"), found, only=a).where("has_log")
     j = E.join_crash_log(a, logs)
-    return j.select("ord", "input_sha1", F.col("dbg").isNotNull().alias("has_log"), "attempt",
-                    F.col("dbg.signal_name").alias("signal_name"))
+    return j.select("ord", "input_sha1", F.coalesce("has_log", F.lit(False)).alias("has_log"), "attempt", "signal_name")
 
 
 def symbolize_pc(spark, sf):
@@ -388,7 +389,7 @@ def label_dims(spark, sf):
 
 def unmatched_logs(spark, sf):
     a = C.dedup_exact(P.raw_crashes(spark, sf).select("input_sha1", "ord"))
-    logs = I.replay_results(X.view(spark, sf, "v_replay"))
+    logs = I.first_usable(X.view(spark, sf, "v_replay"), {"has_log": A.has_result(F.col("_text"))}, only=a).where("has_log")
     return E.unmatched_logs(a, logs).select("ord", "input_sha1")
 
 
@@ -409,7 +410,7 @@ def issue_rank(spark, sf):
 
 
 def section_rank(spark, sf):
-    return FR.section_rank(_ranked(spark, sf)).select("ord", "section", "section_rank", "opened")
+    return FR.section_rank(_triage(spark, sf).issues, P.issue_order()).select("ord", "section", "section_rank", "opened")
 
 
 def split_sections(spark, sf):

@@ -477,6 +477,11 @@ def build() -> dict[str, str]:
     bt = "coalesce(case when has then frames end, [])"
 
     # A
+    Q["scan_crash_files"] = (f"with {views('v_files')} select path, regexp_extract(path, '([^/]+)$', 1) as name, "
+                             f"regexp_extract(path, '([^/]+)/crashes/[^/]+$', 1) as fuzzer_instance, "
+                             f"try_cast(nullif(regexp_extract(regexp_extract(path, '([^/]+)$', 1), '(?i)sig[:_]([0-9]+)', 1), '') as integer) as signal, "
+                             f"size, input_sha1 from v_files where regexp_matches(path, '/crashes/[^/]+$') "
+                             f"and not starts_with(regexp_extract(path, '([^/]+)$', 1), 'README')")
     Q["instance_from_path"] = (f"with {views('v_raw')}, raw as ({RAW_CRASHES}) select ord, "
                                f"regexp_extract(path, '([^/]+)/crashes/[^/]+$', 1) as instance_multi, "
                                f"regexp_extract('/runs/' || fuzzer_instance || '/crashes/' || name, '([^/]+)/crashes/[^/]+$', 1) as instance_single from raw")
@@ -542,7 +547,8 @@ def build() -> dict[str, str]:
     oob = f"coalesce({match('raw', R.OOB_UBSAN, i=True)}, false)"
     Q["oob_direction"] = f"with {views('v_oob_lines')} select ord, {oob_direction_sql(oob, 'source_line')} as direction from v_oob_lines"
     Q["log_tail"] = ("select doc_id, case when length(text) <= 2000 then text else right(text, 2000) end as tail, "
-                     "length(case when length(text) <= 2000 then text else right(text, 2000) end) as tail_len from documents")
+                     "length(case when length(text) <= 2000 then text else right(text, 2000) end) as tail_len, "
+                     "case when length(text) <= 4000 then text else right(text, 4000) end as stderr_tail from documents")
 
     # C / E / F / G over the triage plan
     T = "with " + triage_ctes()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashlake.functions import evidence as A
@@ -13,7 +13,7 @@ from crashlake.operators import dedup as C
 from crashlake.operators import rank as FR
 from crashlake.sources import fixtures as X
 from crashlake.sources import ingest as I
-from crashlake.session import cut_lineage
+from crashlake.session import materialize, release
 
 SOURCE_ROOTS = ["/src"]
 
@@ -44,27 +44,31 @@ def source_lines(spark: SparkSession, sf: str) -> DataFrame:
 class Triage:
     raw: DataFrame
     level_a: DataFrame       # exact dedup (C1)
-    classified: DataFrame    # level A + D22 + stack_hash, persisted
+    classified: DataFrame    # level A + D22 + stack_hash, in files
     level_b: DataFrame       # C2
     level_c: DataFrame       # C3
     issues: DataFrame        # level C + severity (E6)
 
 
 def triage(spark: SparkSession, sf: str, with_debug_info: bool = True) -> Triage:
-    """A -> E1 join replay results -> D22 -> C2 -> C3 -> E6.
+    """A -> E1 join replay facts -> D22 -> C2 -> C3 -> E6.
 
-    Cheap exact dedup runs before the expensive log work; the classified
-    level-A table is persisted once (it feeds level B, the member map and the
-    report), and everything after it moves slim rows only.
+    Cheap exact dedup decides which logs are parsed at all; facts are taken from
+    a log before it is moved.  The classified level-A table feeds level B, the
+    member map and the report, several times each, so it is written once, while
+    the plan is built; all after it reads the columns it needs from the files
+    and moves slim rows only.
     """
+    release(spark)
     raw = raw_crashes(spark, sf)
     level_a = C.dedup_exact(raw.select("input_sha1", "ord", "name", "fuzzer_instance", "size", "path", "signal"))
-    logs = I.replay_results(X.view(spark, sf, "v_replay"), only=level_a).select("ord", "dbg")
+    first = raw.groupBy("input_sha1").agg(F.min("ord").alias("ord"))
+    logs = I.replay_facts(X.view(spark, sf, "v_replay"), only=first)
     sym = symbols(spark, sf) if with_debug_info else None
     src = source_lines(spark, sf) if with_debug_info else None
     classified = K.classify_full(level_a, logs, sym, src, SOURCE_ROOTS)
-    classified = cut_lineage(C.stack_key(classified))
-    level_b = cut_lineage(C.dedup_stack(classified))
+    classified = materialize(C.stack_key(classified.drop("evidence")), "classified")
+    level_b = C.dedup_stack(classified)
     level_c = C.dedup_location(level_b)
     issues = FR.prioritize(level_c)
     return Triage(raw, level_a, classified, level_b, level_c, issues)
@@ -72,5 +76,8 @@ def triage(spark: SparkSession, sf: str, with_debug_info: bool = True) -> Triage
 
 def ranked_issues(t: Triage) -> DataFrame:
     """issues with their 1-based report position."""
-    order = FR.priority_order(["untouched_c", "untouched_b", "ord"])
-    return FR.sorted_index(t.issues, order, out_col="issue_rank")
+    return FR.sorted_index(t.issues, issue_order(), out_col="issue_rank")
+
+
+def issue_order() -> list[Column]:
+    return FR.priority_order(["untouched_c", "untouched_b", "ord"])

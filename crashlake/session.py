@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,19 +47,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+_held: list = []
+_folders: list[list[str]] = [[], []]
 
-    The plan is persisted only while the checkpoint is written: an eager
-    checkpoint otherwise computes the plan twice (once to count, once to
-    write the files).  The cache is released as soon as the files exist.
+
+def hold(df):
+    """Keep the rows of `df` (memory, then disk) once a query first computes them.
+
+    For a table that several branches of one plan read.  A lost executor's part
+    is computed again.  `let_go` and `release` drop it; a plan whose tables are
+    dropped stays right and computes them anew.
     """
     from pyspark import StorageLevel
 
-    ensure_checkpoint_dir(df.sparkSession)
-    if not eager:
-        return df.checkpoint(eager=False)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = held.checkpoint(eager=True)
-    held.unpersist(blocking=False)
-    return out
\ No newline at end of file
+    _held.append(held)
+    return held
+
+
+def let_go() -> None:
+    """Unpersist what is held."""
+    while _held:
+        df = _held.pop()
+        if df.sparkSession.sparkContext._jsc is not None:
+            df.unpersist(blocking=False)
+
+
+def materialize(df, name: str):
+    """`df` as Parquet in the shared checkpoint folder, read back: later plans read the columns they need and start from files.
+
+    What the plan holds is dropped once it is written.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    let_go()
+    _folders[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark) -> None:
+    """Drop held tables, and the files of the triage before the last one; called when a triage query is built."""
+    let_go()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in _folders.pop(0):
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _folders.append([])

@@ -27,6 +27,15 @@ select concat('id_', lpad(cast(doc_id as string), 6, '0'),
 from documents
 """
 
+# files of fuzzer output trees: crash inputs, notes beside them, queue entries and nested folders
+V_FILES = """
+select concat('/out/', coalesce(source, 'none'), case doc_id % 17 when 3 then '/queue/' when 4 then '/crashes/old/' else '/crashes/' end,
+         case when doc_id % 13 = 5 then concat('README', cast(doc_id as string), '.txt')
+              else concat('id_', lpad(cast(doc_id as string), 6, '0'), case when doc_id % 6 = 5 then '' else concat(',SIG:', cast(4 + doc_id % 8 as string)) end) end) as path,
+       {LEN}(text) as size, sha1(text) as input_sha1
+from documents
+"""
+
 _LOG_TEMPLATES = """
  (0, concat('==1==ERROR: AddressSanitizer: heap-buffer-overflow on address 0x60{h}', chr(10), 'WRITE of size 4 at 0x60{h}', chr(10), '    #0 0x4a{h} in parse_{f} /src/m{f}.c:{n}')),
  (1, concat('==1==ERROR: AddressSanitizer: heap-buffer-overflow on address 0x60{h}', chr(10), 'READ of size 1 at 0x60{h}', chr(10), '    #0 0x4a{h} in parse_{f} /src/m{f}.c:{n}')),
@@ -142,6 +151,7 @@ _LEN = {"spark": "octet_length", "duckdb": "strlen"}
 
 FIXTURE_SQL = {
     "v_raw": V_RAW,
+    "v_files": V_FILES,
     "v_log": V_LOG,
     "v_replay": V_REPLAY,
     "v_plot": V_PLOT_SQL,

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crashlake import rules as R
 from crashlake.functions.evidence import is_load_error, parse_log, replay_text
 from crashlake.functions.patterns import PY_LINE_BREAK, jre, py_strip
+from crashlake.operators.bloom import where_key_in
 
 INSTANCE_FROM_PATH = r"([^/]+)/crashes/[^/]+$"
 
@@ -37,43 +38,47 @@ def escape_glob(path: str) -> str:
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
+def is_instance(spark: SparkSession, root: str) -> bool:
+    """Whether `root` is one fuzzer's output (it has a `fuzzer_stats` file or a `crashes` folder) rather than a folder of such."""
+    base = root.rstrip("/")
+    for name in ("fuzzer_stats", "crashes"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return True
+    return False
+
+
 def instance_entries(spark: SparkSession, root: str, name: str, folders: bool = False) -> list[str]:
-    """`root/name` and `root/*/name`, as far as such files (or folders) exist: an instance is the root or its child."""
-    found = []
-    for pattern in (f"{root.rstrip('/')}/{name}", f"{root.rstrip('/')}/*/{name}"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found += [escape_glob(s.getPath().toString()) for s in fs.globStatus(path) or [] if s.isDirectory() == folders]
-    return sorted(found)
-
-
-def scan_crash_files(spark: SparkSession, root: str, with_content: bool = False,
-                     crash_dirs_only: bool = True) -> DataFrame:
-    """A1/A3: crash files of `root` itself or of its direct children, skipping names starting README.
-
-    Only the `crashes` folders are listed and read (with crash_dirs_only off,
-    every file below `root`); a file that can't be read fails the job.
-    `content` is only read when the hash is selected, and it is dropped right
-    after hashing so the bytes never reach a shuffle.
-    """
-    reader = spark.read.format("binaryFile").schema(BINARY_FILE)
-    if crash_dirs_only:
-        folders = instance_entries(spark, root, "crashes", folders=True)
-        df = reader.load(folders) if folders else spark.createDataFrame([], BINARY_FILE)
-    else:
-        df = reader.option("recursiveFileLookup", "true").load(root)
+    """`root/name` if the root is an instance, else `root/*/name`, as far as such files (or folders) exist."""
+    base = escape_glob(root.rstrip("/"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}" if is_instance(spark, root) else f"{base}/*/{name}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(escape_glob(s.getPath().toString()) for s in fs.globStatus(path) or [] if s.isDirectory() == folders)
+
+
+def crash_files(files: DataFrame, columns: list[str]) -> DataFrame:
+    """A1: the crash inputs among `files` (path, size and `columns`): files right in a `crashes` folder whose name doesn't begin README."""
     name = file_name(F.col("path"))
-    cols = [F.col("path"), name.alias("name"), instance_from_path(F.col("path")).alias("fuzzer_instance"),
-            signal_from_name(name).alias("signal"), F.col("length").alias("size")]
-    if with_content:
-        cols.append(F.sha1(F.col("content")).alias("input_sha1"))
-    keep = ~name.startswith(R.SKIP_NAME_PREFIX)
-    if crash_dirs_only:
-        keep = keep & F.col("path").rlike(r"/crashes/[^/]+$")
-    out = df.where(keep).select(*cols)
+    keep = F.col("path").rlike(r"/crashes/[^/]+$") & ~name.startswith(R.SKIP_NAME_PREFIX)
+    out = files.where(keep).select("path", name.alias("name"), instance_from_path(F.col("path")).alias("fuzzer_instance"),
+                                   signal_from_name(name).alias("signal"), "size", *columns)
     return out.withColumn("ord", F.struct("fuzzer_instance", "name"))
 
 
+def scan_crash_files(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
+    """A1/A3: crash files of `root` if it is an instance, else of its direct children, skipping names starting README.
+
+    Only the `crashes` folders are listed and read; a file that can't be read
+    fails the job.  `content` is only read when the hash is selected, and it is
+    dropped right after hashing so the bytes never reach a shuffle.
+    """
+    folders = instance_entries(spark, root, "crashes", folders=True)
+    reader = spark.read.format("binaryFile").schema(BINARY_FILE)
+    df = reader.load(folders) if folders else spark.createDataFrame([], BINARY_FILE)
+    hashed = [F.sha1(F.col("content")).alias("input_sha1")] if with_content else []
+    return crash_files(df.select("path", F.col("length").alias("size"), *hashed), ["input_sha1"] if with_content else [])
+
+
 def parse_fuzzer_stats(texts: DataFrame, body_col: str = "body") -> DataFrame:
     """`key : value` text -> one typed row per instance (last key wins).
 
@@ -153,26 +158,46 @@ def parse_plot_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
                                     t.alias("unix_time"), c.alias("unique_crashes"))
 
 
+def first_usable(attempts: DataFrame, columns: dict[str, Column], key: str = "ord", only: DataFrame | None = None) -> DataFrame:
+    """(key, attempt, columns) of each crash's first attempt whose output is not a loader failure.
+
+    `columns` are computed from `_text`, the text of a replay, and `stderr` before
+    anything is moved, so the text meets no exchange unless it is asked for.  `only` (a
+    frame with `key`) rules out other crashes' logs before they are parsed, by a
+    Bloom filter of its keys: a log that gets past it is dropped by whatever
+    joins on the key.  Repeated logs of an attempt count once.
+    """
+    if only is not None:
+        attempts = where_key_in(attempts, only, key)
+    text = replay_text(F.col("stdout"), F.col("stderr"))
+    ok = attempts.select(key, "attempt", "stderr", text.alias("_text")).where(~is_load_error(F.col("_text")))
+    ok = ok.select(key, "attempt", F.xxhash64("_text").alias("_hash"), *(c.alias(n) for n, c in columns.items()))
+    first = F.row_number().over(Window.partitionBy(key).orderBy("attempt", "_hash"))
+    return ok.withColumn("_nth", first).where(F.col("_nth") == 1).select(key, "attempt", *columns)
+
+
 def choose_replay(attempts: DataFrame, key: str = "ord") -> DataFrame:
-    """Per crash the first attempt whose output is not a loader failure.
+    """A9 with the chosen text.
 
     The log of a failed first attempt is replaced by the retry (if any); a
     crash whose attempts all fail to load has no usable result.
     """
-    text = replay_text(F.col("stdout"), F.col("stderr"))
-    ok = attempts.select(key, "attempt", text.alias("text")).where(~is_load_error(F.col("text")))
-    chosen = ok.groupBy(key).agg(F.min_by(F.struct("attempt", "text"), F.col("attempt")).alias("_c"))
-    return chosen.select(key, F.col("_c.attempt").alias("attempt"), F.col("_c.text").alias("text"))
+    return first_usable(attempts, {"text": F.col("_text")}, key)
 
 
 def replay_results(attempts: DataFrame, key: str = "ord", only: DataFrame | None = None) -> DataFrame:
-    """A8 over A9: (key, dbg) for crashes with a usable replay result.
+    """A8 over A9: (key, attempt, dbg) for crashes with a usable replay result; `dbg` holds the text."""
+    return first_usable(attempts, {"dbg": parse_log(F.col("_text"))}, key, only).where(F.col("dbg").isNotNull())
+
+
+def replay_facts(attempts: DataFrame, key: str = "ord", only: DataFrame | None = None) -> DataFrame:
+    """A8 over A9 without the text: (key, attempt) and what classification reads from the log (`classify.log_facts`)."""
+    from crashlake.operators.classify import log_facts
 
-    `only` (a frame with `key`) restricts the work to those crashes before any
-    text is chosen or parsed; the semi-join and the choice aggregate share the
-    same hash partitioning on `key`, so the restriction adds no shuffle.
-    """
     if only is not None:
-        attempts = attempts.join(only.select(key), on=key, how="left_semi")
-    chosen = choose_replay(attempts, key)
-    return chosen.select(key, "attempt", parse_log(F.col("text")).alias("dbg")).where(F.col("dbg").isNotNull())
+        attempts = where_key_in(attempts, only, key)
+    text = replay_text(F.col("stdout"), F.col("stderr"))
+    ok = attempts.select(key, "attempt", text.alias("_text")).where(~is_load_error(F.col("_text")))
+    found = log_facts(ok.select(key, "attempt", F.xxhash64("_text").alias("_hash"), parse_log(F.col("_text")).alias("dbg")))
+    first = F.row_number().over(Window.partitionBy(key).orderBy("attempt", "_hash"))
+    return found.withColumn("_nth", first).where((F.col("_nth") == 1) & F.col("has_log")).drop("_nth", "_hash", "attempt")

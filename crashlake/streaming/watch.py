@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from crashlake import rules as R
 from crashlake.session import ensure_checkpoint_dir
-from crashlake.sources.ingest import BINARY_FILE, escape_glob, file_name, instance_from_path, signal_from_name
+from crashlake.sources.ingest import BINARY_FILE, escape_glob, file_name, instance_from_path, is_instance, signal_from_name
 
 def crash_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 10000) -> DataFrame:
-    """A1/A3/A4 as a stream: new files in `<root>/crashes/` and `<root>/<instance>/crashes/`, as the batch scan takes them.
+    """A1/A3/A4 as a stream: new files in `<root>/crashes/` if the root is an instance, else `<root>/<instance>/crashes/`.
 
-    The glob is resolved again for every micro-batch, so instances that start later are found.
+    The glob is resolved again for every micro-batch, so instances that start
+    later are found; whether the root is one is decided when the stream starts.
     """
+    folders = "crashes" if is_instance(spark, root) else "*/crashes"
     df = (spark.readStream.format("binaryFile").schema(BINARY_FILE)
           .option("maxFilesPerTrigger", max_files_per_trigger)
-          .load(f"{escape_glob(root.rstrip('/'))}/{{crashes,*/crashes}}"))
+          .load(f"{escape_glob(root.rstrip('/'))}/{folders}"))
     name = file_name(F.col("path"))
     return (df.where(~name.startswith(R.SKIP_NAME_PREFIX))
               .select(F.col("path"), name.alias("name"), instance_from_path(F.col("path")).alias("fuzzer_instance"),

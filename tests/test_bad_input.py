@@ -48,6 +48,16 @@ def test_only_crash_folders_of_instances(spark, tmp_path):
     for place in ("crashes", "f 1/crashes", "f1/queue/crashes", "f1/queue"):
         (tmp_path / place).mkdir(parents=True, exist_ok=True)
         (tmp_path / place / "id_1,sig_11").write_bytes(b"x")
-    got = scan_crash_files(spark, str(tmp_path)).collect()
-    assert sorted(r.fuzzer_instance for r in got) == sorted([tmp_path.name, "f 1"])
+    # a root that has crashes of its own is the one instance; else its children are
+    assert [r.fuzzer_instance for r in scan_crash_files(spark, str(tmp_path)).collect()] == [tmp_path.name]
+    assert [r.fuzzer_instance for r in scan_crash_files(spark, str(tmp_path / "f 1")).collect()] == ["f 1"]
     assert scan_crash_files(spark, str(tmp_path / "f1" / "queue" / "crashes")).count() == 0
+
+
+def test_instances_are_the_children(spark, tmp_path):
+    for place in ("f 1/crashes", "f{2}/crashes", "f1/queue/crashes", "f1/queue"):
+        (tmp_path / place).mkdir(parents=True, exist_ok=True)
+        (tmp_path / place / "id_1,sig_11").write_bytes(b"x")
+    assert sorted(r.fuzzer_instance for r in scan_crash_files(spark, str(tmp_path)).collect()) == ["f 1", "f{2}"]
+    (tmp_path / "fuzzer_stats").write_text("execs_done : 1")  # now the root is one, without crashes
+    assert scan_crash_files(spark, str(tmp_path)).count() == 0

@@ -25,7 +25,7 @@ def test_sorted_index_matches_python_sort(spark):
 def test_block_index_and_running_sum(spark):
     rows = [(f"i{k}", n, n % 3) for k in range(3) for n in range(5000)]
     df = spark.createDataFrame(rows, "inst string, line long, v long").repartition(8)
-    idx = {(r.inst, r.line): r.idx for r in global_index(df, ["inst"], "line", "idx", block=777).collect()}
+    idx = {(r.inst, r.line): r.idx for r in global_index(df, ["inst"], "line", "idx").collect()}
     assert [idx[(i, n)] for i, n, _ in sorted(rows)] == list(range(len(rows)))
     one = df.where(F.col("inst") == "i0")
     rs = {r.line: r.cum for r in running_sum(one, "line", "v", "cum", block=333).collect()}

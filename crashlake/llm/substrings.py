@@ -36,8 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from crashlake.llm.common import mixed, stored, with_text_columns
+from crashlake.llm.common import byte_chunks, discard, mixed, stored, with_text_columns
 from crashlake.llm.suffix import found_in, joined, repeated
+from crashlake.operators.bloom import key_bits, may_hold, where_key_in
 
 WIDTH = 400
 GRAM = 32
@@ -115,7 +116,7 @@ def cut(texts: list, width: int = WIDTH) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """doc_id, key (equal for equal texts), h, ph, s, e of each piece."""
+    """doc_id, key, size (of the text; copies have equal ones), h, ph, s, e of each piece."""
 
     def of(texts: list) -> list:
         counts, columns = cut(texts)
@@ -123,12 +124,14 @@ def pieces(docs: DataFrame) -> DataFrame:
         return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), rows)]
 
     fields = StructType([StructField(n, LongType()) for n in ("h", "ph", "s", "e")])
-    rows = with_text_columns(keyed(docs), [("_p", ArrayType(fields), pa.list_(_PIECE))], of, ["doc_id", "key"])
-    return rows.select("doc_id", "key", F.inline("_p"))
+    rows = with_text_columns(keyed(docs), [("_p", ArrayType(fields), pa.list_(_PIECE))], of, ["doc_id", "key", "size"])
+    return rows.select("doc_id", "key", "size", F.inline("_p"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
+    """doc_id, text, its 64-bit hash and its size; texts that agree in both are taken as copies (at 10^10 texts, one pair in a thousand corpora isn't)."""
+    whole = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole).alias("key"), F.octet_length(whole).alias("size"), "text")
 
 
 def _runs(marked: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -164,29 +167,35 @@ class _Shard:
     def spans(self) -> Iterator[tuple]:
         for a, r in zip(self.starts.tolist(), self.rows, strict=True):
             for x, y in _runs(self.marked[a : a + len(r[-1]) - WIDTH + 1]):
-                yield r[1], r[2] + x, r[2] + y
+                yield r[1], r[2], r[3] + x, r[3] + y
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch whose last column is bytes, converted a few MB at a time."""
+    for part in byte_chunks(batch, batch.num_columns - 1):
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, s, e) of the repeated windows in rows (h, ph, key, s, data) sorted by h and ph."""
+    """(key, size, s, e) of the repeated windows in rows (h, ph, key, size, s, data) sorted by h and ph."""
 
     def out(shard: _Shard) -> pa.RecordBatch:
         got = list(shard.spans())
-        columns = [pa.array([x[i] for x in got], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "s", "e"])
+        columns = [pa.array([x[i] for x in got], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "size", "s", "e"])
 
     def shards() -> Iterator[list[tuple]]:
         rows: list[tuple] = []
         held, last = 0, None
         for batch in batches:
-            for h, ph, key, s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, ph, key, size, s, data in _rows_of(batch):
                 if last == (h, ph):
                     continue  # a repeated row of the table: equal ids and texts
                 last = h, ph
                 if held >= SHARD_BYTES or len(rows) >= 30_000:
                     yield rows
                     rows, held = [], 0
-                rows.append((h, key, s, data))
+                rows.append((h, key, size, s, data))
                 held += len(data)
         if rows:
             yield rows
@@ -209,43 +218,50 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w, key, s) of each window in rows (h, ph, key, s, data)."""
+    """(w, key, size, s) of each window in rows (h, ph, key, size, s, data)."""
     for batch in batches:
-        for _, _, key, s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for _, _, key, size, s, data in _rows_of(batch):
             n = len(data) - WIDTH + 1
             w = [xxhash.xxh3_128_digest(data[i : i + WIDTH]) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([key] * n, pa.binary()), pa.array(np.arange(s, s + n))], names=["w", "key", "s"])
+            columns = [pa.array(w, pa.binary()), pa.array([key] * n, pa.int64()), pa.array([size] * n, pa.int32()), pa.array(np.arange(s, s + n))]
+            yield pa.RecordBatch.from_arrays(columns, names=["w", "key", "size", "s"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(key, s, e): runs of first bytes, from s to e, of repeated windows in the texts with a key."""
+    """(key, size, s, e): runs of first bytes, from s to e, of repeated windows in the texts with a key and size."""
     spark = docs.sparkSession
     every = stored(pieces(docs), "pieces")
-    distinct = every.groupBy("h", "ph").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "s", "e")).alias("one"))
+    distinct = every.groupBy("h", "ph").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "size", "s", "e")).alias("one"))
     distinct = stored(distinct, "distinct-pieces")
     twice = distinct.where("n > 1").select("h", "ph")
-    spans = every.join(twice, ["h", "ph"]).select("key", "s", "e").distinct()
+    spans = stored(every.join(twice, ["h", "ph"]).select("key", "size", "s", "e").distinct(), "equal-pieces")
+    discard(every)
 
     variants = distinct.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1")
     wanted = distinct.join(variants, "h").select("h", "ph", "one.*", (F.col("variants") > HOT).alias("hot"))
-    by_doc = wanted.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list(F.struct("h", "ph", "s", "e", "hot")).alias("_w"))
-    by_doc = stored(by_doc, "wanted")
-    ids = stored(by_doc.select(F.col("_k").alias("key")).distinct(), "wanted-keys")  # of a known size: Spark broadcasts it if small
-    texts = keyed(docs).join(ids, "key", "left_semi").join(by_doc, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    texts = texts.select("key", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.explode("_w").alias("w"))
+    of_doc = wanted.groupBy("doc_id", "key", "size").agg(F.collect_list(F.struct("h", "ph", "s", "e", "hot")).alias("_w"))
+    of_doc = stored(of_doc.withColumnsRenamed({"doc_id": "_d", "key": "_k", "size": "_n"}), "wanted")
+    discard(distinct)
+    # a Bloom filter keeps most texts without a wanted piece from being moved
+    some = where_key_in(keyed(docs), of_doc.select(F.col("_k").alias("key")), "key")
+    texts = some.join(of_doc, (F.col("key") == F.col("_k")) & (F.col("size") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    texts = texts.select("key", "size", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.explode("_w").alias("w"))
     data = F.substring(F.col("text"), (F.col("w.s") + 1).cast("int"), (F.col("w.e") - F.col("w.s") + WIDTH).cast("int"))
-    taken = texts.select("w.h", "w.ph", "key", "w.s", data.alias("data"), "w.hot")
+    taken = texts.select("w.h", "w.ph", "key", "size", "w.s", data.alias("data"), "w.hot")
 
-    schema = "key binary, s long, e long"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sharded = taken.where(~F.col("hot")).drop("hot").repartition(n, "h").sortWithinPartitions("h", "ph").mapInArrow(_sharded, schema)
+    cold = taken.where(~F.col("hot")).drop("hot").repartition(n, "h").sortWithinPartitions("h", "ph")
+    sharded = stored(cold.mapInArrow(_sharded, "key long, size int, s long, e long"), "suffix-spans")
     spans = spans.unionByName(sharded)
-    if variants.where(F.col("variants") > HOT).isEmpty():
-        return spans
-    windows = taken.where("hot").drop("hot").dropDuplicates(["h", "ph"]).mapInArrow(_window_hashes, "w binary, key binary, s long")
-    again = windows.groupBy("w").agg(F.count("*").alias("_n")).where("_n > 1").select("w")
-    hot = windows.join(again, "w").select("key", "s", F.col("s").alias("e"))
-    return spans.unionByName(hot)
+    if not of_doc.where(F.exists("_w", lambda w: w["hot"])).isEmpty():
+        windows = taken.where("hot").drop("hot").dropDuplicates(["h", "ph"]).mapInArrow(_window_hashes, "w binary, key long, size int, s long")
+        windows = stored(windows, "hot-windows")
+        again = windows.groupBy("w").agg(F.count("*").alias("_n")).where("_n > 1").select("w")
+        hot = stored(windows.join(again, "w").select("key", "size", "s", F.col("s").alias("e")), "hot-spans")
+        discard(windows)
+        spans = spans.unionByName(hot)
+    discard(of_doc)
+    return spans
 
 
 def _removed(text: str | None, starts: list, ends: list) -> tuple[int, int, int, str]:
@@ -267,14 +283,16 @@ def _removed(text: str | None, starts: list, ends: list) -> tuple[int, int, int,
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of `docs`."""
-    own = repeated_windows(docs).groupBy(F.col("key").alias("_k")).agg(F.collect_set(F.struct("s", "e")).alias("_r"))  # at most one a byte
-    own = stored(own, "spans")
-    keys = stored(own.select(F.col("_k").alias("key")), "span-keys")  # of a known size: texts that keep all needn't move if it is small
-    whole = keyed(docs).join(keys, "key", "left_anti").select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+    own = repeated_windows(docs).groupBy("key", "size").agg(F.collect_set(F.struct("s", "e")).alias("_r"))  # at most one a byte
+    own = stored(own.withColumnsRenamed({"key": "_k", "size": "_n"}), "spans")
+    # texts that the Bloom filter rules out keep all and aren't moved; the join sorts out the rest
+    marked, every = key_bits(own.select(F.col("_k").alias("key")), "key"), keyed(docs)
+    may = every.withColumn("_bits", marked).withColumn("_may", may_hold(F.col("_bits"), F.col("key"))).drop("_bits")
+    whole = may.where(~F.col("_may")).select(
+        "doc_id", F.col("size").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
-    rows = keyed(docs).join(keys, "key", "left_semi").join(own, F.col("key") == F.col("_k"))
+    rows = may.where("_may").join(own, (F.col("key") == F.col("_k")) & (F.col("size") == F.col("_n")), "left")
     rows = rows.select("doc_id", "text", F.coalesce(F.col("_r.s"), F.array().cast("array<bigint>")).alias("_s"), F.coalesce(F.col("_r.e"), F.array().cast("array<bigint>")).alias("_e"))
     schema = StructType([
         StructField("doc_id", LongType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
@@ -283,8 +301,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_removed(*x) for x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
-            columns = [pa.array([g[i] for g in got], pa.string() if i == 3 else pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+            for part in byte_chunks(batch, 1):
+                got = [_removed(*x) for x in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)]
+                columns = [pa.array([g[i] for g in got], pa.string() if i == 3 else pa.int64()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
 
     return rows.mapInArrow(run, schema).unionByName(whole)

@@ -6,6 +6,8 @@ position of its first insertion when its weight is raised later.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,11 +63,11 @@ def compact(items: list[Column]) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
-def overflow_header(raw: Column, lowered: Column | None = None) -> Column:
+def overflow_header(raw: Column, markers: Column | None = None) -> Column:
     """D3: evidence from a `*-buffer-overflow` header and the first READ/WRITE line."""
     kind = F.lower(F.regexp_extract(raw, jre(R.OVERFLOW_HEADER, i=True), 1))
-    if lowered is not None:
-        kind = F.when(lowered.contains("-buffer-overflow"), kind).otherwise(F.lit(""))
+    if markers is not None:
+        kind = F.when(F.array_contains(markers, OVERFLOW_MARKER), kind).otherwise(F.lit(""))
     access = F.upper(F.regexp_extract(raw, jre(R.ACCESS_LINE, i=True, m=True), 1))
     by_kind = (F.when(kind == "stack", R.OVERFLOW_WRITE_CWE["stack"])
                 .when(kind == "heap", R.OVERFLOW_WRITE_CWE["heap"])
@@ -77,9 +79,8 @@ def overflow_header(raw: Column, lowered: Column | None = None) -> Column:
 
 
 # A lowercase literal every match of the rule at the same position must
-# contain (derived from each pattern).  Testing it on the lower-cased text
-# first skips the case-insensitive regex scan for rules that cannot match.
-RULE_GUARDS = [
+# contain (derived from each pattern).
+RULE_MARKERS = [
     "after", "return", "scope", "double", "allocation",
     "segv on unknown address", "null", "segv on unknown address", "segv on unknown address",
     "segv on unknown address", "signed", "unsigned", "shift", "negation of", "zero",
@@ -87,19 +88,30 @@ RULE_GUARDS = [
     "variable length array", "__ubsan_handle_", "__ubsan_handle_", "__ubsan_handle_",
     "__ubsan_handle_", "__ubsan_handle_", "__ubsan_handle_", "__ubsan_handle_", "__ubsan_handle_",
 ]
+# the overflow header's marker goes into the same scan
+OVERFLOW_MARKER = "-buffer-overflow"
+# A look-ahead consumes nothing, so markers that overlap are all found; the
+# class of first letters rules out most positions at once.
+_EVERY_MARKER = sorted({*RULE_MARKERS, OVERFLOW_MARKER})
+_MARKER_SCAN = "(?=[" + re.escape("".join(sorted({m[0] for m in _EVERY_MARKER}))) + "])(?=(" + "|".join(map(re.escape, _EVERY_MARKER)) + "))"
+
+
+def rule_markers(lowered: Column) -> Column:
+    """The markers that occur in the lower-cased log, found in one scan."""
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(_MARKER_SCAN), F.lit(1)))
 
 
-def sanitizer_rule_hits(raw: Column, lowered: Column | None = None) -> list[Column]:
+def sanitizer_rule_hits(raw: Column, markers: Column | None = None) -> list[Column]:
     """One item per rule, NULL when the rule does not match.
 
-    With `lowered` (= lower(raw), computed once) each regex runs only when
-    the rule's necessary literal occurs.
+    With `markers` (`rule_markers` of the log) each regex runs only where the
+    rule's marker is among them.
     """
     out = []
-    for (p, cwe, w, dotall), guard in zip(R.SANITIZER_RULES, RULE_GUARDS):
+    for (p, cwe, w, dotall), marker in zip(R.SANITIZER_RULES, RULE_MARKERS):
         hit = raw.rlike(jre(p, i=True, s=dotall))
-        if lowered is not None:
-            hit = lowered.contains(guard) & hit
+        if markers is not None:
+            hit = F.array_contains(markers, marker) & hit
         out.append(F.when(hit, ev(cwe, w)))
     return out
 

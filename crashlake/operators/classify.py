@@ -46,7 +46,7 @@ def _base_cols() -> list[Column]:
     dbg = F.col("dbg")
     return [
         dbg["raw"].alias("_raw"),
-        F.lower(dbg["raw"]).alias("_lraw"),
+        D.rule_markers(F.lower(dbg["raw"])).alias("_marks"),
         F.coalesce(dbg["backtrace"], F.array().cast("array<string>")).alias("backtrace"),
         dbg["faulting_instruction"].alias("faulting_instruction"),
         dbg["faulting_address"].alias("faulting_address"),
@@ -62,8 +62,8 @@ def _fact_cols() -> list[Column]:
     dbg_cols = F.struct(F.col("backtrace").alias("backtrace"), F.col("faulting_instruction").alias("faulting_instruction"))
     double_free, corrupt = D.glibc_messages(raw)
     return [
-        F.when(has & (raw != ""), D.compact([D.overflow_header(raw, F.col("_lraw")),
-                                             *D.sanitizer_rule_hits(raw, F.col("_lraw"))]))
+        F.when(has & (raw != ""), D.compact([D.overflow_header(raw, F.col("_marks")),
+                                             *D.sanitizer_rule_hits(raw, F.col("_marks"))]))
          .otherwise(_empty()).alias("_san_items"),
         D.frame_functions(F.col("backtrace")).alias("_funcs"),
         (has & D.stack_exhaustion(dbg_cols)).alias("_exh"),
@@ -105,7 +105,7 @@ def log_facts(df: DataFrame) -> DataFrame:
     """Everything that needs the log text (`dbg`), computed once per log; the text is dropped after."""
     base = [c for c in df.columns if c != "dbg"]
     df = df.select(*base, *_base_cols())
-    return df.select("*", *_fact_cols()).drop("_raw", "_lraw")
+    return df.select("*", *_fact_cols()).drop("_raw", "_marks")
 
 
 def crash_facts(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from crashlake.functions import evidence as A
 from crashlake.operators import classify as K
 from crashlake.operators import dedup as C
+from crashlake.session import materialize, release
 from crashlake.sources import fixtures as X
 
 HOT_LOG = ("==1==ERROR: AddressSanitizer: heap-buffer-overflow on address 0x602000000010\n"
@@ -32,5 +33,6 @@ def skewed_level_b(spark: SparkSession, sf: str) -> DataFrame:
     logs = skewed_logs(spark, sf)
     issues = logs.select("ord", "signal", F.lit(1).cast("bigint").alias("duplicate_count"))
     dbg = logs.select("ord", A.parse_log(F.col("raw")).alias("dbg"))
-    cl = C.stack_key(K.classify_full(issues, dbg))
+    release(spark)
+    cl = materialize(C.stack_key(K.classify_full(issues, dbg).drop("evidence")), "classified")
     return C.dedup_stack(cl)

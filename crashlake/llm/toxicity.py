@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from crashlake.llm.common import with_text_columns
+from crashlake.llm.common import stored, with_text_columns
 
 EXAMPLES = 20_000
 NEIGHBOURS = 15
@@ -193,14 +193,9 @@ def calibrate(spark: SparkSession, index: Index) -> Index:
     return index
 
 
-def train(labelled: DataFrame, examples: int = EXAMPLES) -> Index:
-    """Index over at most `examples` rows of `labelled` (doc_id, text, toxic), the first by a hash of the id."""
+def train(labelled: DataFrame) -> Index:
+    """Index over the rows of `labelled` (doc_id, text, toxic), a bounded sample as `labelled_rows` takes it."""
     rows = labelled.where(F.col("toxic").isNotNull()).select("doc_id", "text", (F.col("toxic") > 0).alias("toxic"))
-    ids = rows.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(examples)
-    last = ids.agg(F.max("h").alias("h")).first()["h"]
-    if last is None:
-        return build([], {}, 0)
-    rows = rows.where(F.xxhash64("doc_id") <= last)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows with each term, by label, summed over what this task reads."""
@@ -239,10 +234,18 @@ def train(labelled: DataFrame, examples: int = EXAMPLES) -> Index:
     return calibrate(rows.sparkSession, index)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:
-    """doc_id, text and toxic of the labelled documents that may be learned from."""
-    own = labels.where(allowed & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id")
+def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = EXAMPLES) -> DataFrame:
+    """doc_id, text and toxic of at most `examples` labelled documents that may be learned from, the first by a hash of the id.
+
+    The ids are chosen among the labels, so no text is moved but those of the
+    chosen rows (a broadcast of at most `examples` pairs of numbers); they are
+    stored once.  Of rows with one id, one is taken.
+    """
+    own = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("_t")
+    return stored(rows.groupBy("doc_id", "toxic").agg(first).select("doc_id", F.col("_t.text").alias("text"), "toxic"), "examples")
 
 
 def score(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataFrame:

@@ -5,11 +5,13 @@ length.  Each turn gets the hash of the conversation up to it: a running sum of
 two 64-bit hashes of (position, role, text).  A conversation whose last hash is
 another's hash at the same length is a prefix of that one; an anti-join removes
 these, and of equal conversations all but the smallest id.  What is left is
-rendered, one row for each part of at most `PART` turn numbers.
+rendered, one row for each part of at most `PART` turns.
 
-Running sums are taken within parts and then over the parts' totals, so a
-conversation with very many turns is spread over many tasks; shared beginnings
-are combined before the shuffle.  DataFrame functions only.
+Turns are numbered by a range-partitioned sort, and running sums are taken
+within a partition and then over the partitions' totals, so a conversation with
+very many turns, or rows without an id or turn number, are spread over many
+tasks; shared beginnings are combined before the shuffle.  DataFrame functions
+only.
 
 Defined cases: a null role is "unknown" and a null text empty, also when
 conversations are compared; a repeated row (equal in conv_id, turn, role and
@@ -21,50 +23,39 @@ columns aren't read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crashlake.llm.common import in_order
+
 PART = 256
+#: Characters of a text that partitions are cut by; longer ones only matter within one.
+DEALT = 200
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & a[n].eqNullSafe(b[n])
-    return out
-
-
-def _joined(rows: DataFrame, right: DataFrame) -> DataFrame:
-    """rows with the columns of `right` for their conversation and part, nulls being equal."""
-    own = right.withColumnsRenamed({"conv_id": "_c", "_block": "_b"})
-    return rows.join(own, rows["conv_id"].eqNullSafe(own["_c"]) & rows["_block"].eqNullSafe(own["_b"])).drop("_c", "_b")
-
-
 def prefixes(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, _block, part, pos (from 1), _n (turns) and the prefix hashes _h and _g of each turn."""
+    """conv_id, turn, role, text, part, pos (from 1), _n (turns) and the prefix hashes _h and _g of each turn."""
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).distinct().withColumn("_block", F.floor(F.col("turn") / PART))
-    own = Window.partitionBy("conv_id", "_block").orderBy("turn", "role", "text")
-    blocks = Window.partitionBy("conv_id").orderBy("_block")
-    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.row_number().over(own))
-    counts = rows.groupBy("conv_id", "_block").agg(F.max("_in").alias("_k"))
-    counts = counts.select(
-        "conv_id", "_block", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"),
-        F.sum("_k").over(Window.partitionBy("conv_id")).alias("_n"), (F.row_number().over(blocks) - 1).alias("part"),
-    )
-    rows = _joined(rows, counts).withColumn("pos", F.col("_before") + F.col("_in"))
+    ).distinct()
+    dealt = [F.col("turn"), F.col("role"), F.substring("text", 1, DEALT)]
+    rows, pieces = in_order(rows, ["conv_id"], ["turn", "role", "text"], "chat-turns", dealt)
+    pieces = pieces.withColumnsRenamed({"conv_id": "_c", "_pid": "_p"})
+    here = lambda own: rows["conv_id"].eqNullSafe(own["_c"]) & (rows["_pid"] == own["_p"])
+    rows = rows.join(pieces, here(pieces)).withColumn("pos", F.col("_at") + F.col("_shift") + 1).withColumnRenamed("_total", "_n").drop("_c", "_p", "_at", "_shift")
     mark = lambda seed: F.xxhash64(F.lit(seed), "pos", "role", "text").cast("decimal(20,0)")
-    rows = rows.withColumns({"_h": mark(1), "_g": mark(2)})
-    sums = rows.groupBy("conv_id", "_block").agg(F.sum("_h").alias("_h0"), F.sum("_g").alias("_g0"))
+    rows = rows.withColumns({"part": F.floor((F.col("pos") - 1) / PART), "_h": mark(1), "_g": mark(2)})
+    # running sums within a conversation's piece of a partition, and over its pieces, of which there are few
+    sums = rows.groupBy("conv_id", "_pid").agg(F.sum("_h").alias("_h0"), F.sum("_g").alias("_g0"))
+    before = Window.partitionBy("conv_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("decimal(38,0)")
     total = lambda c: F.coalesce(F.sum(c).over(before), zero).cast("decimal(38,0)").alias(c)
-    sums = sums.select("conv_id", "_block", total("_h0"), total("_g0"))
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select(F.col("conv_id").alias("_c"), F.col("_pid").alias("_p"), total("_h0"), total("_g0"))
+    rows = rows.join(sums, here(sums))
+    upto = Window.partitionBy("conv_id", "_pid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     running = lambda c, c0: (F.col(c0) + F.sum(c).over(upto)).cast("decimal(38,0)")
-    return _joined(rows, sums).withColumns({"_h": running("_h", "_h0"), "_g": running("_g", "_g0")}).drop("_h0", "_g0", "_in", "_before")
+    return rows.withColumns({"_h": running("_h", "_h0"), "_g": running("_g", "_g0")}).drop("_h0", "_g0", "_c", "_p", "_pid")
 
 
 def collapsed(conversations: DataFrame) -> DataFrame:
@@ -93,7 +84,7 @@ ORACLE = f"""
 with t as (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
 p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos,
              count(*) over (partition by conv_id) as n,
-             dense_rank() over (partition by conv_id order by floor(turn / {PART}.0) nulls first) - 1 as part from t),
+             (row_number() over (partition by conv_id order by turn nulls first, role, text) - 1) // {PART} as part from t),
 l as (select *, list(row(role, text)) over (partition by conv_id order by pos) as upto from p),
 f as (select conv_id, n, upto from l where pos = n),
 b as (select distinct f.conv_id from f join l on l.upto = f.upto

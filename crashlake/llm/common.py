@@ -56,9 +56,11 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def in_order(df: DataFrame, groups: list[str], order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+def in_order(df: DataFrame, groups: list[str], order: list[str], name: str, dealt: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Number the rows of each group without gathering a group in one task.
 
+    dealt: what partitions are cut by in place of `order`, if that has long values; `order` refines it.
+
     Returns the stored rows, range-partitioned by groups and order, with `_pid`
     and `_at` (the place in the partition), and one row per partition and group:
     `_pid`, the groups, `_shift` (a row's position in its group, from 0, is
@@ -66,7 +68,8 @@ def in_order(df: DataFrame, groups: list[str], order: list[str], name: str) -> t
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in (*groups, *order)]
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    cuts = keys if dealt is None else [*map(F.col, groups), *dealt]
+    ranged = df.repartitionByRange(n, *cuts).sortWithinPartitions(*keys)
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the bits above are the partition's
     rows = stored(ranged.select("*", F.spark_partition_id().alias("_pid"), at.alias("_at")), name)
     parts = rows.groupBy("_pid", *groups).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
@@ -143,10 +146,10 @@ def byte_chunks(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterat
 def with_columns(df: DataFrame, column: str, new: Sequence[tuple[str, DataType, pa.DataType]], of: Callable[[list], list], keep: list[str] | None = None) -> DataFrame:
     """Append columns computed from lists of whole values of `column`; the rest passes as Arrow, unconverted.
 
-    keep: the columns of `df` to return, all of them if not given.
+    keep: the columns of `df` to return, all of them if not given; one that has the name of a new one is replaced.
     """
     at = df.columns.index(column)
-    kept = list(range(len(df.columns))) if keep is None else [df.columns.index(c) for c in keep]
+    kept = [i for i, c in enumerate(df.columns) if c not in {n for n, _, _ in new}] if keep is None else [df.columns.index(c) for c in keep]
     schema = StructType([*(df.schema.fields[i] for i in kept), *(StructField(n, t) for n, t, _ in new)])
     names, kinds = schema.names, [k for _, _, k in new]
 

@@ -232,13 +232,24 @@ def test_chat_collapse(spark):
     turns = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (3, 1, "assistant", "yes"),
              (4, 0, "user", "other"), (5, 0, None, None), (None, 0, "user", "hi"), (6, 300, "user", "late"), (6, 0, "user", "early")]
     got = chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
-    want = {(2, 0): 2, (4, 0): 1, (5, 0): 1, (6, 0): 2, (6, 1): 2}
+    want = {(2, 0): 2, (4, 0): 1, (5, 0): 1, (6, 0): 2}  # parts go by place, not by turn number
     assert {(r.conv_id, r.part): r.n_turns for r in got} == want
     two = next(r for r in got if r.conv_id == 2)
     assert two.rendered == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n"
     assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string, pos int")).count() == 0
 
 
+def test_chat_parts_of_turns_without_id(spark):
+    """A third of the turns has no conv_id and one turn number; its parts hold `PART` turns each, in order."""
+    n = 3 * chat.PART - 10
+    turns = [(None, None, "user", f"t{i:04d}") for i in range(n)] + [(c, t, "user", f"c{c} {t}") for c in range(2 * n // 5) for t in range(5)]
+    got = chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)).collect()
+    own = sorted((r.part, r.rendered) for r in got if r.conv_id is None)
+    assert [x.count("<|im_start|>") for _, x in own] == [chat.PART, chat.PART, chat.PART - 10]
+    assert re.findall("t[0-9]{4}", "".join(x for _, x in own)) == [f"t{i:04d}" for i in range(n)]
+    assert len(got) == 3 + 2 * n // 5
+
+
 def test_tiles_and_contamination(docs, empty, spark):
     item = _prose(50, 40)
     w = item.split()

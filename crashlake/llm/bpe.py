@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType
 
-from crashlake.llm.common import with_columns
+from crashlake.llm.common import only, with_columns
 from crashlake.llm.parts import PartCache
 
 WIDE = 256
@@ -206,6 +206,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
     """`docs` with `ids` of `text`, little-endian unsigned 32-bit; decoded: also the bytes they decode to, as `decoded`."""
 
     def of(texts: list) -> list:
+        only(__name__, tokenizer_of.cache_clear)
         own = tokenizer_of(path, pattern)
         ids = own.encode(texts)
         return [[x.astype("<u4").tobytes() for x in ids], *([[own.decode(x) for x in ids]] if decoded else [])]
@@ -218,6 +219,7 @@ def decode(frames: DataFrame, path: str, pattern: str, keep: list[str] | None =
     """`frames` with the bytes that column `ids` decodes to, as `decoded`; nothing for null."""
 
     def of(ids: list) -> list:
+        only(__name__, tokenizer_of.cache_clear)
         own = tokenizer_of(path, pattern)
         return [[own.decode(np.frombuffer(x or b"", "<u4")) for x in ids]]
 

@@ -86,6 +86,18 @@ def placed(rows: DataFrame, parts: DataFrame, groups: list[str], pos: str = "pos
     return out.drop("_pid", "_at", "_shift", *(f"_of_{c}" for c in ("_pid", *groups)))
 
 
+#: What this worker's operators remember between tasks: name and how to forget it.
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def only(name: str, forget: Callable[[], object] | None = None) -> None:
+    """Workers serve one operator after another: forget what any but operator `name` remembers, which says how to forget its own."""
+    for other in [x for x in _kept if x != name]:
+        _kept.pop(other)()
+    if forget is not None:
+        _kept[name] = forget
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
@@ -99,6 +111,7 @@ _hashes = _Hashes()
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word."""
+    _kept["words"] = _hashes.clear
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -136,7 +149,7 @@ def chunks(sizes: Sequence[int], most: int = 4_000_000) -> Iterator[tuple[int, i
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def byte_chunks(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def byte_chunks(batch: pa.RecordBatch, at: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose column `at` holds about `most` bytes, or one row; nothing is converted before."""
     sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
     for a, b in chunks(sizes.tolist(), most):
@@ -153,7 +166,10 @@ def with_columns(df: DataFrame, column: str, new: Sequence[tuple[str, DataType,
     schema = StructType([*(df.schema.fields[i] for i in kept), *(StructField(n, t) for n, t, _ in new)])
     names, kinds = schema.names, [k for _, _, k in new]
 
+    name = of.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(name)
         for batch in batches:
             for part in byte_chunks(batch, at):
                 own = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(of(part.column(at).to_pylist()), kinds, strict=True)]

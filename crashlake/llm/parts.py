@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Distinct parts and characters of them that a worker remembers at most; forgetting them costs time only.
-PARTS = 500_000
-CHARACTERS = 8_000_000
+#: A worker that remembers more parts, or characters of them, forgets all before the next texts; that costs time only.
+PARTS = 600_000
+CHARACTERS = 16_000_000
 
 
 class PartCache:
@@ -45,12 +45,12 @@ class PartCache:
         end_id: an id that follows each text.
         """
         parts = list(chain.from_iterable(texts))
-        distinct = set(parts)
-        if len(self.code) + len(distinct) > PARTS or self.held > CHARACTERS:
+        if len(self.code) > PARTS or self.held > CHARACTERS:
             self.forget()
-        if new := list(distinct.difference(self.code)):
-            self._add(new)
-        codes = np.fromiter(map(self.code.__getitem__, parts), np.int64, len(parts))
+        codes = np.fromiter(map(self.code.get, parts, repeat(-1)), np.int64, len(parts))
+        if len(unknown := np.flatnonzero(codes < 0).tolist()):
+            self._add(list({parts[i]: None for i in unknown}))
+            codes[unknown] = [self.code[parts[i]] for i in unknown]
         lens = self.lens[codes]
         ends = np.concatenate(([0], np.cumsum(lens)))
         first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))

@@ -11,13 +11,14 @@ file beside a shard holds one `ENTRY` per frame: a reader can seek to any
 record, so an epoch can be read in shuffled order without reading a shard whole.
 
 Documents are range-partitioned by id, so shard after shard holds them in
-ascending id order; each task writes its own shard.  A task that is run again
-writes a new file; the manifest, written by Spark's committer, names the files
-of successful tasks only.
+ascending id order; each task writes its own shard, in files of about `ROLL`
+bytes.  A task that is run again writes new files; the manifest, written by
+Spark's committer, names the files of successful tasks only.
 
 Defined cases: a null text is encoded as an empty one (just the end id); a null
-id sorts first; rows with equal ids are ordered by the text's hash; an empty
-table gives an empty manifest; other columns are not read, whatever their names.
+id sorts first; rows with equal ids are ordered by the text's hash; texts of any
+length are encoded whole, in blocks; an empty table gives an empty manifest;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,24 +34,31 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crashlake.llm.common import chunks, shared_folder
+from crashlake.llm.common import byte_chunks, only, shared_folder
+from crashlake.llm.parts import PartCache
 
 HEAD = "<qBBH"  # document id, 1 if the id is null, bytes per token id, 0
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8"), ("doc_id", "<i8"), ("is_null", "u1")])
 FRAME_BYTES = 16
 MASK_DELTA = 0xA282EAD8
-MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
-#: Text parts whose ids a worker remembers; forgetting them costs time only.
-REMEMBERED = 900_000
+RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary, shard int, offset long"
+MANIFEST = "shard int, file int, path string, n_docs long, n_tokens long, n_bytes long"
+#: A shard's file is followed by another one beyond so many bytes, so its index stays small.
+ROLL = 1 << 28
+#: Characters of a text encoded at once, and parts joined to one text.
+BLOCK = 4_000_000
+JOINED = 5000
 _UNSAFE = re.compile(r" (?:\s|$)|\0")
 _BEFORE_WORD = re.compile(r"(?= \S)")
-#: A mark or line break that doesn't follow a letter or digit.
-_ODD = re.compile(r"(?<![^\W_])[.,\n]")
+_JOINS = re.compile(r" \S|[,.\n][^\W_]")
+#: A mark or line break that follows a letter or digit.
+_AFTER_WORD = re.compile(r"(?s)[,.\n](?<=[^\W_].)")
 
 
 def masked_crc(data: bytes) -> int:
@@ -79,7 +87,9 @@ class Encoder:
 
     A byte-level BPE tokenizer always ends a piece before a space that a
     non-space follows, and between a letter or digit and a comma, full stop or
-    line break, so a text can be cut there and its parts encoded apart.
+    line break, so a text can be cut there and its parts encoded apart.  Parts
+    cut so are given to it joined again, many in one text; their ids are told
+    apart by the bytes of each token.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -88,61 +98,64 @@ class Encoder:
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        #: A text with one of these isn't cut.
+        #: A text with one of these is cut before spaces only.
         self.whole = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, f"<u{self.width}")
-        self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        n, lens = len(self.code), np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), self.flat.dtype, int(lens.sum()))
-        while n + len(new) > len(self.starts):
-            self.starts, self.lens = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        self.starts[n : n + len(new)] = self.used + np.cumsum(lens) - lens
-        self.lens[n : n + len(new)] = lens
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.code.update(zip(new, range(n, n + len(new)), strict=True))
+        #: Bytes of each token: byte-level tokens have one character a byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        self.token_bytes[np.fromiter(vocabulary.values(), np.int64, len(vocabulary))] = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
+        for i, x in self.tokenizer.get_added_tokens_decoder().items():
+            self.token_bytes[i] = len(x.content.encode())
+        self.parts = PartCache(self._learn, f"<u{self.width}")
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(lens.sum())), lens
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # parts that begin with a space, or else end in a letter or digit, can be joined among themselves
+        joins = np.fromiter(((x[0] == " ") + 2 * x[-1].isalnum() if _JOINS.match(x) else 0 for x in new), np.int64, len(new))
+        lens = np.zeros(len(new), np.int64)
+        rest = np.flatnonzero(joins == 0)
+        found = []
+        spaced, other = np.flatnonzero(joins & 1), np.flatnonzero(joins == 2)
+        for own in [x[a : a + JOINED] for x in (spaced, other) for a in range(0, len(x), JOINED)]:
+            texts = [new[k] for k in own.tolist()]
+            flat, _ = self._ids(["".join(texts)])
+            ends = np.cumsum(self.token_bytes[flat])
+            cuts = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in texts]), "right")
+            lens[own] = np.diff(cuts, prepend=0)
+            found.append((own, flat))
+        flat, lens[rest] = self._ids([new[k] for k in rest.tolist()])
+        found.append((rest, flat))
+        out, starts = np.empty(lens.sum(), self.parts.dtype), np.cumsum(lens) - lens
+        for own, flat in found:
+            n = lens[own]
+            out[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(len(flat))] = flat
+        return out, lens
 
     def _parts(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if any(x in text for x in self.whole):
-            return [text]
-        if _UNSAFE.search(text):
+        if _UNSAFE.search(text) or any(x in text for x in self.whole):
             return [x for x in _BEFORE_WORD.split(text) if x]
-        if not _ODD.search(text):
-            text = text.replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n")
-        out = text.replace(" ", "\0 ").split("\0")
+        out = _AFTER_WORD.sub("\0\\g<0>", text).replace(" ", "\0 ").split("\0")
         return out if out[0] else out[1:]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and where each text's ids begin (one more entry at the end)."""
-        own = [self._parts(t) for t in texts]
-        parts = list(chain.from_iterable(own))
-        distinct = set(parts)
-        if len(self.code) + len(distinct) > REMEMBERED:
-            self.forget()
-        if new := list(distinct.difference(self.code)):
-            self._learn(new)
-        codes = np.fromiter(map(self.code.__getitem__, parts), np.int64, len(parts))
-        lens = self.lens[codes]
-        ends = np.concatenate(([0], np.cumsum(lens)))
-        first = np.concatenate(([0], np.cumsum([len(x) for x in own])))
-        bounds = ends[first] + np.arange(len(texts) + 1)
-        out = np.full(bounds[-1], self.end_id, self.flat.dtype)
-        body = np.ones(len(out), bool)
-        body[bounds[1:] - 1] = False
-        out[body] = self.flat[np.repeat(self.starts[codes] - ends[:-1], lens) + np.arange(ends[-1])]
-        return out, bounds
+        if len(texts) > 1 or len(texts[0] or "") <= BLOCK:
+            return self.parts.encode([self._parts(t) for t in texts], self.end_id)
+        # a very long text, block by block
+        text, at, found = texts[0], 0, []
+        while at < len(text):
+            cut = _BEFORE_WORD.search(text, at + BLOCK)
+            end = cut.start() if cut else len(text)
+            found.append(self.parts.encode([self._parts(text[at:end])])[0])
+            at = end
+        ids = np.concatenate([*found, np.array([self.end_id], self.parts.dtype)])
+        return ids, np.array([0, len(ids)])
 
 
 @functools.cache
@@ -157,6 +170,7 @@ def _store(path: str):
 
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
+    path = re.sub("^s3[an]:", "s3:", path)  # Hadoop's names
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
 
@@ -169,28 +183,32 @@ class RecordSet:
 
     @property
     def manifest(self) -> DataFrame:
-        """One row per shard, with the ids before it; shards are as few as the partitions written."""
-        shards = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
-        before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+        """One row per file, with the ids before it: summed within a shard, and over the shards (one row per task that wrote)."""
+        files = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+        before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
+        shards = shards.select(F.col("shard").alias("_s"), F.coalesce(F.sum("_n").over(before(Window.orderBy("shard"))), F.lit(0)).alias("_start"))
+        own = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("shard").orderBy("file"))), F.lit(0))
+        files = files.withColumn("_own", own).join(shards, F.col("shard") == F.col("_s"))
+        return files.withColumn("start", F.col("_start") + F.col("_own")).drop("_s", "_start", "_own")
 
     def read(self, seed: int | None = None) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32 and ids of each record; checksums are checked.
 
-        With a seed the records of each shard are read in shuffled order, through the index.
+        With a seed the records of each file are read in shuffled order, through the index.
         """
 
-        def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for shards in parts:
-                for s in shards.itertuples():
-                    yield from _read_shard(s.path, s.start, s.shard, seed)
+        def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for files in parts:
+                for f in files.to_pylist():
+                    yield from _read_file(f["path"], f["start"], f["shard"], f["file"], seed)
 
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        shards = self.manifest.repartition(n, "shard")
-        return shards.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary, shard int, offset long")
+        files = self.manifest.repartition(n, "shard", "file")
+        return files.mapInArrow(read, RECORDS)
 
 
-def _read_shard(path: str, start: int, shard: int, seed: int | None) -> Iterator[pd.DataFrame]:
+def _read_file(path: str, start: int, shard: int, number: int, seed: int | None) -> Iterator[pa.RecordBatch]:
     fs, at = _store(path)
     with fs.open_input_file(at + ".idx") as f:
         raw = f.read()
@@ -198,7 +216,7 @@ def _read_shard(path: str, start: int, shard: int, seed: int | None) -> Iterator
         raise ValueError(f"damaged index {path}.idx")
     index = np.frombuffer(raw[:-4], ENTRY)
     starts = start + np.cumsum(index["n_tokens"]).astype(np.int64) - index["n_tokens"].astype(np.int64)
-    order = np.arange(len(index)) if seed is None else np.random.default_rng((seed, shard)).permutation(len(index))
+    order = np.arange(len(index)) if seed is None else np.random.default_rng((seed, shard, number)).permutation(len(index))
     with fs.open_input_file(at) as f:
         rows, held = [], 0
         for k in order.tolist():
@@ -210,15 +228,51 @@ def _read_shard(path: str, start: int, shard: int, seed: int | None) -> Iterator
             rows.append((None if is_null else doc, int(starts[k]), len(ids) // 4, zlib.crc32(ids), ids, shard, int(e["offset"])))
             held += len(ids)
             if held > 8_000_000:
-                yield _frame_of(rows)
+                yield _batch(rows)
                 rows, held = [], 0
         if rows:
-            yield _frame_of(rows)
-
-
-def _frame_of(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids", "shard", "offset"])
-    return out.astype({"doc_id": "Int64"})
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RECORDS.split(", ")])
+
+
+class _Writer:
+    """One file of records and, on closing, the index beside it."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.fs, self.at = _store(path)
+        self.fs.create_dir(self.at.rsplit("/", 1)[0], recursive=True)
+        self.file = self.fs.open_output_stream(self.at)
+        self.entries, self.offset, self.n_tokens = [], 0, 0
+
+    def add(self, doc: np.ndarray, is_null: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> None:
+        own = np.zeros(len(doc), ENTRY)
+        own["doc_id"], own["is_null"], own["n_tokens"] = doc, is_null, np.diff(bounds)
+        out = []
+        for k in range(len(doc)):
+            head = struct.pack(HEAD, int(doc[k]), int(is_null[k]), flat.dtype.itemsize, 0)
+            out.append(frame(head + flat[bounds[k] : bounds[k + 1]].tobytes()))
+        own["length"] = lens = np.fromiter(map(len, out), np.uint64, len(out))
+        own["offset"] = np.uint64(self.offset) + np.cumsum(lens) - lens
+        self.file.write(b"".join(out))
+        self.offset += int(lens.sum())
+        self.n_tokens += int(bounds[-1])
+        self.entries.append(own)
+
+    def close(self, shard: int, number: int) -> pa.RecordBatch:
+        """The file's row of the manifest."""
+        self.file.close()
+        index = np.concatenate(self.entries).tobytes()
+        with self.fs.open_output_stream(self.at + ".idx") as f:
+            f.write(index + struct.pack("<I", zlib.crc32(index)))
+        row = {"shard": shard, "file": number, "path": self.path, "n_docs": len(index) // ENTRY.itemsize, "n_tokens": self.n_tokens, "n_bytes": self.offset}
+        kinds = {"shard": pa.int32(), "file": pa.int32(), "path": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(n, pa.int64())) for n, v in row.items()], names=list(row))
 
 
 def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int | None = None, path: str | None = None) -> RecordSet:
@@ -227,39 +281,23 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int
     path = path or shared_folder(spark, "token-records")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = next(batches, None)
-        if first is None:
-            return
-        shard, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer, end_id)
-        name = f"{path}/records/part-{shard:06d}-{uuid.uuid4().hex}.rec"
-        fs, at = _store(name)
-        fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-        entries, offset, n_tokens = [], 0, 0
-        with fs.open_output_stream(at) as f:
-            for batch in chain([first], batches):
-                texts, ids = batch["text"].tolist(), batch["doc_id"]
-                nulls, ids = ids.isna().to_numpy(), ids.fillna(0).astype("int64").to_numpy()
-                for a, b in chunks(texts):
-                    flat, bounds = encoder.encode(texts[a:b])
-                    own = np.zeros(b - a, ENTRY)
-                    own["doc_id"], own["is_null"], own["n_tokens"] = ids[a:b], nulls[a:b], np.diff(bounds)
-                    out = []
-                    for k in range(b - a):
-                        head = struct.pack(HEAD, int(ids[a + k]), int(nulls[a + k]), encoder.width, 0)
-                        out.append(frame(head + flat[bounds[k] : bounds[k + 1]].tobytes()))
-                    own["length"] = lens = np.fromiter(map(len, out), np.uint64, b - a)
-                    own["offset"] = np.uint64(offset) + np.cumsum(lens) - lens
-                    f.write(b"".join(out))
-                    offset += int(lens.sum())
-                    n_tokens += int(bounds[-1])
-                    entries.append(own)
-        index = np.concatenate(entries).tobytes()
-        with fs.open_output_stream(at + ".idx") as f:
-            f.write(index + struct.pack("<I", zlib.crc32(index)))
-        yield pd.DataFrame([(shard, name, len(index) // ENTRY.itemsize, n_tokens, offset)], columns=["shard", "path", "n_docs", "n_tokens", "n_bytes"])
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(__name__, encoder_of.cache_clear)
+        shard, number, out = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            for part in byte_chunks(batch, 1):
+                if out is None:
+                    out = _Writer(f"{path}/records/part-{shard:06d}-{number:04d}-{uuid.uuid4().hex}.rec")
+                ids = part.column(0)
+                doc, is_null = pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False)
+                out.add(doc, is_null, *encoder_of(tokenizer, end_id).encode(part.column(1).to_pylist()))
+                if out.offset >= ROLL:
+                    yield out.close(shard, number)
+                    out, number = None, number + 1
+        if out is not None:
+            yield out.close(shard, number)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id", F.xxhash64("text"))
     rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows.mapInPandas(write, MANIFEST).write.parquet(f"{path}/manifest")
+    rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return RecordSet(spark, path)

@@ -134,7 +134,7 @@ class Index:
         v = self.vector(text)
         key = tuple((t, round(w, 9)) for t, w in v.items())
         if key not in self.seen:
-            if len(self.seen) > 50_000:
+            if len(self.seen) > 10_000:
                 self.seen.clear()
             share, near = self.vote(v)
             p = self.unmatched if share is None else float(np.interp(share, *self.calibration))

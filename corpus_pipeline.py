@@ -3,12 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's `docs`.  All but the last
 return the columns of `docs`.  Every stage works on what its predecessor kept,
-decides over all of it, and lets its decision take effect; a stage handles
-nulls, empty and repeated rows as its operator says.
+decides over all of it, and lets its decision take effect.  Columns other than
+`DOCUMENT` are renamed by place while a stage works, so they pass whatever their
+names; an empty table passes every stage.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +21,34 @@ from crashlake.llm.common import stored, table
 from crashlake.llm.queries import END_ID, tokenizer_path
 
 ORACLE_SQL = None  # classifiers, random rounding and tokenizers can't be expressed in SQL
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def own_columns(stage: Stage) -> Stage:
+    """The stage on `docs` with its extra columns renamed, and its rows with their names again."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inner = docs.toDF(*(c if c in DOCUMENT else f"extra_{i}" for i, c in enumerate(docs.columns)))
+        return stage(spark, inner, sf_dir).toDF(*docs.columns)
+
+    return run
 
 
+@own_columns
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold; learned from all labelled documents of `docs`."""
+    """Documents whose toxicity score is below the threshold; learned from a bounded sample of the labelled documents of `docs`.
+
+    Null and empty texts get the share of toxic examples without a known word; without labels all are kept.
+    """
     labels = table(spark, sf_dir, "labels")
     index = toxicity.train(toxicity.labelled_rows(docs, labels, F.lit(True)))
     scored = toxicity.score(docs, index)
     return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
 
 
+@own_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, one with the smallest id; rows without an id are kept.
 
@@ -45,14 +67,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.where(own_id.isNull()).unionByName(rows.join(kept, "_row", "left_semi")).select(docs.columns)
 
 
+@own_columns
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item is tiled in."""
+    """Documents that no benchmark item is tiled in; null and empty texts, and all if there is no item, are kept."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("_items") == 0).select(docs.columns)
 
 
+@own_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents of no words are kept once."""
+    """Each document as often as the mix takes it; documents of no words (null, empty) are kept once.
+
+    A null source is a source; rows of one id are told apart by a row number.
+    """
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
     copies = mixing.mix(rows, key="_row").select("_row", F.col("size").alias("_size"), "copies")
     joined = rows.join(copies, "_row")
@@ -61,7 +88,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The records of all documents, read back from the files."""
+    """The records of all documents, read back from the files; null texts are the end id alone, null ids come first."""
     records = token_records.write_records(docs, tokenizer_path(), END_ID)
     return records.read().select("doc_id", "start", "n_tokens", "ids_crc32")
 

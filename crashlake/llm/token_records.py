@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crashlake.llm.common import byte_chunks, only, shared_folder
-from crashlake.llm.parts import PartCache
+from crashlake.llm.parts import CHARACTERS, PARTS
 
 HEAD = "<qBBH"  # document id, 1 if the id is null, bytes per token id, 0
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8"), ("doc_id", "<i8"), ("is_null", "u1")])
@@ -106,34 +106,34 @@ class Encoder:
         self.token_bytes[np.fromiter(vocabulary.values(), np.int64, len(vocabulary))] = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
         for i, x in self.tokenizer.get_added_tokens_decoder().items():
             self.token_bytes[i] = len(x.content.encode())
-        self.parts = PartCache(self._learn, f"<u{self.width}")
+        #: Ids of each part, as they are stored.
+        self.code: dict[str, bytes] = {}
+        self.held = 0
+        self.kind = np.dtype(f"<u{self.width}")
+        self.end = np.array([end_id], self.kind).tobytes()
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int64, int(lens.sum())), lens
 
-    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, new: list[str]) -> None:
         # parts that begin with a space, or else end in a letter or digit, can be joined among themselves
         joins = np.fromiter(((x[0] == " ") + 2 * x[-1].isalnum() if _JOINS.match(x) else 0 for x in new), np.int64, len(new))
-        lens = np.zeros(len(new), np.int64)
-        rest = np.flatnonzero(joins == 0)
-        found = []
-        spaced, other = np.flatnonzero(joins & 1), np.flatnonzero(joins == 2)
+        spaced, other, rest = np.flatnonzero(joins & 1), np.flatnonzero(joins == 2), np.flatnonzero(joins == 0)
         for own in [x[a : a + JOINED] for x in (spaced, other) for a in range(0, len(x), JOINED)]:
             texts = [new[k] for k in own.tolist()]
             flat, _ = self._ids(["".join(texts)])
             ends = np.cumsum(self.token_bytes[flat])
-            cuts = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in texts]), "right")
-            lens[own] = np.diff(cuts, prepend=0)
-            found.append((own, flat))
-        flat, lens[rest] = self._ids([new[k] for k in rest.tolist()])
-        found.append((rest, flat))
-        out, starts = np.empty(lens.sum(), self.parts.dtype), np.cumsum(lens) - lens
-        for own, flat in found:
-            n = lens[own]
-            out[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(len(flat))] = flat
-        return out, lens
+            self._add(texts, flat, np.searchsorted(ends, np.cumsum([len(x.encode()) for x in texts]), "right"))
+        texts = [new[k] for k in rest.tolist()]
+        flat, lens = self._ids(texts)
+        self._add(texts, flat, np.cumsum(lens))
+
+    def _add(self, parts: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
+        data, cuts = flat.astype(self.kind).tobytes(), [0, *(ends * self.width).tolist()]
+        self.code.update(zip(parts, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        self.held += sum(map(len, parts))
 
     def _parts(self, text: str | None) -> list[str]:
         if not text:
@@ -143,19 +143,28 @@ class Encoder:
         out = _AFTER_WORD.sub("\0\\g<0>", text).replace(" ", "\0 ").split("\0")
         return out if out[0] else out[1:]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with the end ids, and where each text's ids begin (one more entry at the end)."""
+    def _encoded(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts given as their parts."""
+        if len(self.code) > PARTS or self.held > CHARACTERS:
+            self.code.clear()
+            self.held = 0
+        code = self.code
+        if new := list({p: None for parts in texts for p in parts if p not in code}):
+            self._learn(new)
+        return [b"".join(map(code.__getitem__, parts)) for parts in texts]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, with the end id, as they are stored."""
         if len(texts) > 1 or len(texts[0] or "") <= BLOCK:
-            return self.parts.encode([self._parts(t) for t in texts], self.end_id)
+            return [x + self.end for x in self._encoded([self._parts(t) for t in texts])]
         # a very long text, block by block
         text, at, found = texts[0], 0, []
         while at < len(text):
             cut = _BEFORE_WORD.search(text, at + BLOCK)
             end = cut.start() if cut else len(text)
-            found.append(self.parts.encode([self._parts(text[at:end])])[0])
+            found += self._encoded([self._parts(text[at:end])])
             at = end
-        ids = np.concatenate([*found, np.array([self.end_id], self.parts.dtype)])
-        return ids, np.array([0, len(ids)])
+        return [b"".join([*found, self.end])]
 
 
 @functools.cache
@@ -250,18 +259,15 @@ class _Writer:
         self.file = self.fs.open_output_stream(self.at)
         self.entries, self.offset, self.n_tokens = [], 0, 0
 
-    def add(self, doc: np.ndarray, is_null: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> None:
+    def add(self, doc: np.ndarray, is_null: np.ndarray, ids: list[bytes], width: int) -> None:
         own = np.zeros(len(doc), ENTRY)
-        own["doc_id"], own["is_null"], own["n_tokens"] = doc, is_null, np.diff(bounds)
-        out = []
-        for k in range(len(doc)):
-            head = struct.pack(HEAD, int(doc[k]), int(is_null[k]), flat.dtype.itemsize, 0)
-            out.append(frame(head + flat[bounds[k] : bounds[k + 1]].tobytes()))
+        own["doc_id"], own["is_null"], own["n_tokens"] = doc, is_null, np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        out = [frame(struct.pack(HEAD, i, n, width, 0) + x) for i, n, x in zip(doc.tolist(), is_null.tolist(), ids, strict=True)]
         own["length"] = lens = np.fromiter(map(len, out), np.uint64, len(out))
         own["offset"] = np.uint64(self.offset) + np.cumsum(lens) - lens
         self.file.write(b"".join(out))
         self.offset += int(lens.sum())
-        self.n_tokens += int(bounds[-1])
+        self.n_tokens += int(own["n_tokens"].sum())
         self.entries.append(own)
 
     def close(self, shard: int, number: int) -> pa.RecordBatch:
@@ -290,7 +296,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int
                     out = _Writer(f"{path}/records/part-{shard:06d}-{number:04d}-{uuid.uuid4().hex}.rec")
                 ids = part.column(0)
                 doc, is_null = pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False)
-                out.add(doc, is_null, *encoder_of(tokenizer, end_id).encode(part.column(1).to_pylist()))
+                encoder = encoder_of(tokenizer, end_id)
+                out.add(doc, is_null, encoder.encode(part.column(1).to_pylist()), encoder.width)
                 if out.offset >= ROLL:
                     yield out.close(shard, number)
                     out, number = None, number + 1

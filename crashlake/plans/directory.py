@@ -39,6 +39,7 @@ class TriageResult:
     stats: DataFrame          # per-instance fuzzer statistics
     plot: DataFrame           # crashes-over-time points in file order
     rollups: dict[str, DataFrame]
+    classified: DataFrame     # level A with its classification: what `sink.save_classified` keeps for later reports
     evidence: DataFrame | None = None  # log and stderr tails of the issues' representatives (with replay logs)
 
 
@@ -90,7 +91,7 @@ def run_triage(spark: SparkSession, afl_out: str, replay_logs: DataFrame | None
         "plot_downsample": G.plot_downsample(plot),
     }
     evidence = None if replay_logs is None else issue_evidence(final, replay_logs)
-    result = TriageResult(raw, issues, members, stats, plot, rollups, evidence)
+    result = TriageResult(raw, issues, members, stats, plot, rollups, classified, evidence)
     if out_dir is not None:
         more = {} if evidence is None else {"issue_evidence": evidence}
         write_triage_tables(out_dir, issues, members, {**rollups, **more, "fuzzer_stats": stats.drop("raw"), "plot_points": plot})

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from crashlake.operators import dedup as C
 from crashlake.operators import lookup as E
+from crashlake.operators import rollup as G
 from crashlake.operators.bloom import where_key_in
 from crashlake.operators.rank import sorted_index
+from crashlake.operators.sink import save_classified
 from crashlake.operators.sequence import attach_scalar, running_sum, salted_join
 from crashlake.plans.catalog import QUERIES
 from crashlake.sources import ingest as I
@@ -91,6 +93,20 @@ def test_members_with_hot_keys(spark):
     assert {r.issue_ord for r in got} == {r.ord for r in C.dedup_location(C.dedup_stack(a)).collect()}
 
 
+def test_bucketed_table_is_read_without_a_shuffle_on_its_key(spark, tmp_path):
+    _, df = issues(spark)
+    df = df.withColumn("severity_level", F.lit("HIGH"))
+    saved = save_classified(df, "classified_crashes", str(tmp_path / "t"), 4)
+    plan = plan_of(saved.where(F.col("stack_hash").isNotNull()).groupBy("stack_hash", "top_cwe").agg(F.min("ord"), F.sum("duplicate_count")))
+    assert "Exchange" not in plan and "Bucketed: true" in plan and "text" not in plan
+    assert "hashpartitioning(_k0" not in plan_of(C.dedup_stack(saved))
+    counts = plan_of(G.severity_counts(saved))
+    assert re.search(r"ReadSchema: struct<severity_level:string>", counts)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, C.dedup_stack(saved).collect())) == sorted(map(key, C.dedup_stack(df).collect()))
+    spark.sql("DROP TABLE classified_crashes")
+
+
 def test_salted_join_splits_hot_keys(spark):
     left = spark.createDataFrame([(i, "hot" if i % 10 else None if i % 20 else f"k{i}") for i in range(3000)], "id long, k string")
     right = left.where(F.col("k").isNotNull()).groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from crashlake.llm.common import mixed, stored, window_hashes, with_text_columns, word_hashes
+from crashlake.llm.common import discard, mixed, stored, window_hashes, with_text_columns, word_hashes
 from crashlake.llm.graph import components
 
 SHINGLE = 5
@@ -93,7 +93,9 @@ def table_keys(reps: DataFrame) -> DataFrame:
     later = lambda x: F.transform(F.filter("c", lambda y: y["i"] > x["i"]), lambda y: pair(x, y))
     keys = stored(own.where(F.size("c") > 1).select("id", "n", F.explode(F.flatten(F.transform("c", later))).alias("key")), "table-keys")
     met = keys.groupBy("key").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b").select("key")
-    return stored(keys.join(met, "key").select("id", "n", "key"), "met-keys")
+    out = stored(keys.join(met, "key").select("id", "n", "key"), "met-keys")
+    discard(keys)
+    return out
 
 
 def prefix_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
@@ -174,7 +176,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = stored(known.select("doc_id", "n_shingles", "set_key", "collections").join(least, "set_key").drop("set_key"), "members")
     copies = member.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = member.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "collections")
-    keys = table_keys(reps).withColumn("pos", F.lit(0))
+    sources = [table_keys(reps)]  # what `keys` is read from
+    keys = sources[0].withColumn("pos", F.lit(0))
 
     def full(texts: list) -> list:
         own = [shingles(t) for t in texts]
@@ -186,6 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     new = [("own", ArrayType(LongType()), pa.list_(pa.int64())), ("bits", BinaryType(), pa.binary()), ("set_key", BinaryType(), pa.binary())]
     sets = with_text_columns(texts, new, full, ["id", "n"]).where(F.size("own") == F.col("n")).dropDuplicates(["id", "set_key"]).select("id", "n", "own", "bits")
     sets = stored(sets, "sets")
+    discard(wanted)
 
     # the first round: each document with the smallest id that it meets
     first = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"))
@@ -194,14 +198,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(verified(possible(pairs, sets), sets).unionByName(copies), "links")
     by_table, centres = True, CENTRES
     labels = components(links)
+    discard(member, links)
     while True:
         placed = keys.join(labels, "id", "left").select("id", "n", "key", "pos", F.coalesce("component", "id").alias("comp"))
         mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("key")
         left = stored(placed.join(mixed_keys, "key"), "left-keys")
+        discard(*sources)
         if left.isEmpty():
             break
         if by_table:
             keys, by_table = prefix_keys(left.select("id").distinct(), sets), False
+            discard(left)
+            sources = [keys]
             continue
         centre = left.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(centres)).alias("_s")).agg(F.min(F.struct("id", "n", "pos", "comp")).alias("c"))
         centre = stored(centre.drop("_s"), "centres")
@@ -209,10 +217,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
         links = stored(verified(possible(pairs, sets), sets), "links")
         if not links.isEmpty():
-            labels = components(links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+            old, labels = labels, components(links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+            discard(old)
+        discard(links)
+        sources = [left, centre]
         centres *= 8
         done = centre.select("key", F.col("c.id").alias("id"))
         keys = left.join(done, ["key", "id"], "left_anti").select("id", "n", "key", "pos")
+    discard(left, sets)
     out = rows.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))

@@ -8,7 +8,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: A worker that remembers more parts, or characters of them, forgets all before the next texts; that costs time only.
-PARTS = 600_000
+PARTS = 450_000
 CHARACTERS = 16_000_000
 
 

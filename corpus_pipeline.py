@@ -13,7 +13,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crashlake.llm import decontaminate, minhash, mixing, token_records, toxicity
@@ -55,16 +55,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are compared by their texts, also those that share an id, so quite different ones stay;
     of rows without words, one is kept for each id.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     own_id = F.col("doc_id").cast("long")
+    rows = docs.withColumn("_row", F.when(own_id.isNotNull(), F.xxhash64(own_id, "text")))  # rows of equal id and text are one
     found = minhash.near_duplicates(rows.where(own_id.isNotNull()).select(F.col("_row").alias("doc_id"), "text"))
     found = found.select(F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
-    found = found.join(rows.select("_row", own_id.alias("_id"), F.xxhash64("text").alias("_text")), "_row")
+    ids = rows.where(own_id.isNotNull()).select("_row", own_id.alias("_id"), F.xxhash64("text").alias("_text")).distinct()
+    found = found.distinct().join(ids, "_row")
     # a group's first row by id; rows of equal id by text, so reruns agree
     empty = F.when(F.col("_group").isNull(), F.col("_id"))
     first = found.groupBy("_group", empty.alias("_empty")).agg(F.min(F.struct("_id", "_text", "_row")).alias("_first"))
     kept = first.select(F.col("_first._row").alias("_row"))
-    return rows.where(own_id.isNull()).unionByName(rows.join(kept, "_row", "left_semi")).select(docs.columns)
+    # of equal rows one stays
+    once = F.row_number().over(Window.partitionBy("_row", "doc_id").orderBy(*(F.xxhash64(c) for c in docs.columns)))
+    one = rows.join(kept, "_row", "left_semi").withColumn("_nth", once).where(F.col("_nth") == 1)
+    return rows.where(own_id.isNull()).select(docs.columns).unionByName(one.select(docs.columns))
 
 
 @own_columns

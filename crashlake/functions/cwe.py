@@ -164,7 +164,7 @@ def stack_exhaustion(dbg: Column) -> Column:
 
 def recursive_overflow(dbg: Column) -> Column:
     """Sanitizer stack-overflow (not '...buffer' later on the line) or D8."""
-    pat = jre(R.STACK_OVERFLOW + f"(?!.*{R.STACK_OVERFLOW_EXCLUDE})", i=True)
+    pat = jre(R.STACK_OVERFLOW, i=True)
     return dbg["raw"].rlike(pat) | stack_exhaustion(dbg)
 
 

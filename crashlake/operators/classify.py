@@ -58,7 +58,7 @@ def _base_cols() -> list[Column]:
 @per_context
 def _fact_cols() -> list[Column]:
     raw, has = F.col("_raw"), F.col("has_log")
-    so_pat = jre(R.STACK_OVERFLOW + f"(?!.*{R.STACK_OVERFLOW_EXCLUDE})", i=True)
+    so_pat = jre(R.STACK_OVERFLOW, i=True)
     dbg_cols = F.struct(F.col("backtrace").alias("backtrace"), F.col("faulting_instruction").alias("faulting_instruction"))
     double_free, corrupt = D.glibc_messages(raw)
     return [

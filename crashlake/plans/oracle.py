@@ -138,10 +138,11 @@ def exhaustion_sql() -> str:
 
 
 def recursive_sql() -> str:
-    # RE2 has no look-ahead: "stack-overflow" whose rest of line has no "buffer"
-    rest = f"regexp_extract(raw, {rx(R.STACK_OVERFLOW + '(.*)', i=True)}, 1)"
-    hit = f"regexp_matches(raw, {rx(R.STACK_OVERFLOW, i=True)})"
-    return f"(({hit} and not contains(lower({rest}), 'buffer')) or {exhaustion_sql()})"
+    # RE2 has no look-ahead: the pattern before it, and the rest of the line that it looks at
+    before, excluded = re.fullmatch(r"(.*)\(\?!\.\*(\w+)\)", R.STACK_OVERFLOW).groups()
+    rest = f"regexp_extract(raw, {rx(before + '(.*)', i=True)}, 1)"
+    hit = f"regexp_matches(raw, {rx(before, i=True)})"
+    return f"(({hit} and not contains(lower({rest}), {q(excluded)})) or {exhaustion_sql()})"
 
 
 def trap_values() -> str:

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 from itertools import chain, repeat
 
 import numpy as np
 
-#: A worker that remembers more parts, or characters of them, forgets all before the next texts; that costs time only.
-PARTS = 450_000
+#: Parts that the Python workers of an executor remember together (Spark may keep more of them than it runs at once),
+#: and characters that one does.  A worker beyond its share forgets all before the next texts; that costs time only.
+PARTS = 900_000
 CHARACTERS = 16_000_000
 
 
+def share() -> int:
+    """Parts that this worker may remember."""
+    parent = os.getppid()
+    try:
+        with open(f"/proc/{parent}/task/{parent}/children") as f:
+            workers = len(f.read().split())
+    except OSError:
+        workers = 4
+    return PARTS // max(2, workers)
+
+
 class PartCache:
     """Remembers the ids of parts.  learn: parts -> all their ids, and the number of ids of each."""
 
@@ -45,7 +58,7 @@ class PartCache:
         end_id: an id that follows each text.
         """
         parts = list(chain.from_iterable(texts))
-        if len(self.code) > PARTS or self.held > CHARACTERS:
+        if len(self.code) > share() or self.held > CHARACTERS:
             self.forget()
         codes = np.fromiter(map(self.code.get, parts, repeat(-1)), np.int64, len(parts))
         if len(unknown := np.flatnonzero(codes < 0).tolist()):

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crashlake.llm.common import byte_chunks, only, shared_folder
-from crashlake.llm.parts import CHARACTERS, PARTS
+from crashlake.llm.parts import CHARACTERS, share
 
 HEAD = "<qBBH"  # document id, 1 if the id is null, bytes per token id, 0
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8"), ("doc_id", "<i8"), ("is_null", "u1")])
@@ -145,7 +145,7 @@ class Encoder:
 
     def _encoded(self, texts: list[list[str]]) -> list[bytes]:
         """Ids of texts given as their parts."""
-        if len(self.code) > PARTS or self.held > CHARACTERS:
+        if len(self.code) > share() or self.held > CHARACTERS:
             self.code.clear()
             self.held = 0
         code = self.code

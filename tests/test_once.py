@@ -22,7 +22,7 @@ def optimized(df):
     ("normalize_distribution", "aggregate(", 1),
     ("cwe_long", "aggregate(", 1),
     ("top_cwe", "aggregate(", 2),  # the sum and the arg-max
-    ("exploit_score", "ld-linux", 1),
+    ("exploit_score", "aggregate(", 2),
     ("parse_replay_log", r"si_addr\s", 1),
 ])
 def test_costly_parts_stand_in_the_plan_once(spark, name, part, times):

@@ -14,11 +14,14 @@ linear number of pairs: first each document with the smallest of the ids it
 meets.  The documents in tables that still hold several components meet again
 if they share a shingle among the rarest quarter of their sets, as similar sets
 must (prefix filter), and are of similar size; there, each is checked with a few
-documents of other components per shingle (`CENTRES`, eight times as many each
-round), which are then done.  Before a pair's full sets are brought together,
+documents of other components per shingle (`CENTRES`, four times as many each
+round), which are then done.  Only documents that have the shingle among the
+rarest seventh of their sets are taken for that, as the smaller one of two
+similar sets has the rarest one that they share: the many documents of a common
+passage with surroundings of their own don't, and don't meet.  Before a pair's full sets are brought together,
 small bitmaps of the sets bound what they can share, which never rejects a pair
 that is similar enough.  The rounds end when no shingle holds two
-components, so no link between components is lost, and what is in one
+components and a document to check others with, so no link between components is lost, and what is in one
 component is never paired again.  Documents with equal sets are one to all
 this and share their links.
 
@@ -46,7 +49,7 @@ from crashlake.llm.graph import components
 SHINGLE = 5
 PERCENT = 75
 COLLECTIONS, WIDTH = 16, 2
-CENTRES = 16
+CENTRES = 4
 _random = np.random.default_rng(20240601)
 _MUL = _random.integers(0, 1 << 63, COLLECTIONS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.integers(0, 1 << 63, COLLECTIONS * WIDTH, dtype=np.uint64)
@@ -99,11 +102,13 @@ def table_keys(reps: DataFrame) -> DataFrame:
 
 
 def prefix_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, n, key, pos): the shingles of each document's prefix that another's set has, too, and how many of its own are rarer.
+    """(id, n, key, pos, raised): the shingles of each document's prefix that another's set has, too, and how many of its own are rarer.
 
     Sets of which 75 % is common share a shingle of their n - ceil(0.75 n) + 1
     rarest ones, rarity being counted over these documents.  Shingles of one
-    document take their places in its prefix but can't be met.
+    document take their places in its prefix but can't be met.  A key is a
+    shingle and a class of sizes; each document is in its own class and, raised,
+    in the next one, where it meets those that aren't raised.
     """
     own = sets.join(ids, "id").select("id", F.size("own").alias("n"), F.explode("own").alias("key"))
     rare = own.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
@@ -113,7 +118,8 @@ def prefix_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
     # sizes in the proportion of 3 to 4 or nearer are in one class or in neighbouring ones
     size = F.floor(F.log(F.col("n") + 0.5) / math.log(100 / PERCENT))
     keys = shared.withColumn("k", size).select("id", "n", "k", (F.col("n") - F.size("c")).alias("alone"), F.posexplode(F.slice("c.key", 1, F.col("r"))).alias("at", "key"))
-    return stored(keys.select("id", "n", (F.col("alone") + F.col("at")).alias("pos"), F.explode(F.array(F.xxhash64("key", "k"), F.xxhash64("key", F.col("k") + 1))).alias("key")), "prefix-keys")
+    both = [F.struct(F.xxhash64("key", F.col("k") + up).alias("key"), F.lit(up == 1).alias("raised")) for up in (0, 1)]
+    return stored(keys.select("id", "n", (F.col("alone") + F.col("at")).alias("pos"), F.inline(F.array(*both))), "prefix-keys")
 
 
 def bitmap(own: np.ndarray) -> bytes:
@@ -168,6 +174,11 @@ def _can_start(n: str, i: str, m: str, j: str):
     return (100 + PERCENT) * rest >= PERCENT * (F.col(n) + F.col(m))
 
 
+def _can_lead():
+    """True if a set can be the smaller one of two that are similar enough when its place of the key is that of the rarest shingle they share."""
+    return (100 + PERCENT) * (F.col("n") - F.col("pos")) >= 2 * PERCENT * F.col("n")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of `docs`."""
     rows = stored(sketch(docs), "sketch")
@@ -177,7 +188,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = member.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = member.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "collections")
     sources = [table_keys(reps)]  # what `keys` is read from
-    keys = sources[0].withColumn("pos", F.lit(0))
+    keys = sources[0].withColumns({"pos": F.lit(0), "raised": F.lit(False)})
 
     def full(texts: list) -> list:
         own = [shingles(t) for t in texts]
@@ -200,9 +211,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links)
     discard(member, links)
     while True:
-        placed = keys.join(labels, "id", "left").select("id", "n", "key", "pos", F.coalesce("component", "id").alias("comp"))
-        mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("key")
-        left = stored(placed.join(mixed_keys, "key"), "left-keys")
+        placed = keys.join(labels, "id", "left").select("id", "n", "key", "pos", "raised", F.coalesce("component", "id").alias("comp"))
+        held = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.max(_can_lead()).alias("_lead"), F.min("raised").alias("_raised"))
+        left = stored(placed.join(held.where("_a < _b and _lead and not _raised").select("key"), "key"), "left-keys")
         discard(*sources)
         if left.isEmpty():
             break
@@ -211,9 +222,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             discard(left)
             sources = [keys]
             continue
-        centre = left.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(centres)).alias("_s")).agg(F.min(F.struct("id", "n", "pos", "comp")).alias("c"))
+        slot = F.pmod(F.xxhash64("id"), F.lit(centres)).alias("_s")
+        centre = left.where(_can_lead()).groupBy("key", slot).agg(F.min(F.struct("id", "n", "pos", "comp", "raised")).alias("c"))
         centre = stored(centre.drop("_s"), "centres")
-        met = left.join(centre, "key").where((F.col("comp") != F.col("c.comp")) & _can_start("n", "pos", "c.n", "c.pos"))
+        can_meet = ~(F.col("raised") & F.col("c.raised")) & _can_start("n", "pos", "c.n", "c.pos")
+        met = left.join(centre, "key").where((F.col("comp") != F.col("c.comp")) & can_meet)
         pairs = met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
         links = stored(verified(possible(pairs, sets), sets), "links")
         if not links.isEmpty():
@@ -221,9 +234,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             discard(old)
         discard(links)
         sources = [left, centre]
-        centres *= 8
-        done = centre.select("key", F.col("c.id").alias("id"))
-        keys = left.join(done, ["key", "id"], "left_anti").select("id", "n", "key", "pos")
+        centres *= 4
+        done = centre.select("key", F.col("c.id").alias("id"), F.col("c.n").alias("n"))
+        keys = left.join(done, ["key", "id", "n"], "left_anti").select("id", "n", "key", "pos", "raised")
     discard(left, sets)
     out = rows.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

@@ -72,6 +72,44 @@ def test_minhash_repeated_id_keeps_all_sets(spark):
     assert {r.component_id for r in got} == {20}
 
 
+def test_minhash_common_passage_with_surroundings_of_its_own_meets_nothing(spark, monkeypatch):
+    # 96 shingles of each text are everybody's and 29 its own: a similarity of 0.62, the passage within the prefix
+    passage = [f"p{i}" for i in range(100)]
+    own = [(d, " ".join([f"d{d}w{i}" for i in range(25)] + passage)) for d in range(60)]
+    names, stored = [], minhash.stored
+
+    def spied(df, name):
+        out = stored(df, name)
+        names.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "stored", spied)
+    got = minhash.near_duplicates(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, d) for d in range(60)}
+    assert [n for name, n in names if name == "prefix-keys" and n] and ("left-keys", 0) in names
+    assert "centres" not in dict(names)
+
+
+def test_minhash_near_copies_match_all_pairs(spark):
+    r = random.Random(7)
+    own = []
+    for group in range(3):
+        base = [f"g{group}p{i}" for i in range(90)]
+        for _ in range(40):
+            words = [w if r.random() > 0.03 else f"x{r.random()}" for w in base[r.randint(0, 9) : len(base) - r.randint(0, 9)]]
+            own.append((len(own), " ".join(words + [f"y{r.random()}" for _ in range(r.randint(0, 12))])))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in own]
+    comp = list(range(len(own)))
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if 100 * len(x & sets[b]) >= 75 * len(x | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    assert 10 < len(set(comp)) < 110
+    got = minhash.near_duplicates(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(comp))
+
+
 def test_near_duplicates_stage_keeps_different_texts_of_one_id(spark):
     a, b = _prose(72, 80), _prose(73, 80)
     own = [(1, a, "x"), (1, b, "x"), (1, b.upper(), "x"), (2, a + " more", "x"), (3, b, "x"), (4, None, "x"), (4, "", "x"), (5, "", "x"), (None, a, "x"), (None, a, "x")]

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from crashlake.llm.common import discard, mixed, stored, window_hashes, with_text_columns, word_hashes
+from crashlake.llm.common import byte_chunks, discard, mixed, stored, window_hashes, with_text_columns, word_hashes
 from crashlake.llm.graph import components
 
 SHINGLE = 5
@@ -145,11 +145,12 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in ("_n", "_x", "_m", "_y")), strict=True):
-                both = most_common(n, x, m, y)
-                keep.append(100 * both >= PERCENT * (n + m - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in byte_chunks(batch, batch.schema.get_field_index("_x")):  # _y is at most about twice as long
+                keep = []
+                for n, x, m, y in zip(*(part.column(c).to_pylist() for c in ("_n", "_x", "_m", "_y")), strict=True):
+                    both = most_common(n, x, m, y)
+                    keep.append(100 * both >= PERCENT * (n + m - both))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 

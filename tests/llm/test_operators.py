@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from crashlake.llm import chat, decontaminate, langid, minhash, mixing, quality, rules, substrings, suffix, token_records, toxicity
+from crashlake.llm import chat, common, decontaminate, langid, minhash, mixing, quality, rules, substrings, suffix, token_records, toxicity
 from crashlake.llm.queries import END_ID, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _copies string, key int"
@@ -110,6 +111,16 @@ def test_minhash_near_copies_match_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(comp))
 
 
+def test_idle_workers_keep_no_word_hashes(spark, docs):
+    minhash.near_duplicates(docs).count()
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(common._hashes)]})
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_near_duplicates_stage_keeps_different_texts_of_one_id(spark):
     a, b = _prose(72, 80), _prose(73, 80)
     own = [(1, a, "x"), (1, b, "x"), (1, b.upper(), "x"), (2, a + " more", "x"), (3, b, "x"), (4, None, "x"), (4, "", "x"), (5, "", "x"), (None, a, "x"), (None, a, "x")]
